@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, language_id, token_counts, url_filter
+from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,21 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_bpe_round_trip,)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    model = language_id.train(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.predict(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_url_filter, op7_bpe_round_trip, op8_token_counts, op9_language_id)}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}

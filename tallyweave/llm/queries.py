@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, token_counts, url_filter
+from . import bpe, language_id, quality, token_counts, url_filter
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scores = quality.score(docs, machine)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -35,5 +43,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_url_filter, op7_bpe_round_trip, op8_token_counts, op9_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}

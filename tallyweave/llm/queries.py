@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality, token_counts, url_filter
+from . import bpe, language_id, quality, repeats, token_counts, url_filter
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +43,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id)}
+def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = repeats.remove_repeats(docs.select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["first"])
+    return cut.select(
+        "doc_id",
+        (F.octet_length("kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_repeated_windows)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality, repeats, token_counts, url_filter
+from . import bpe, decontaminate, language_id, quality, repeats, token_counts, url_filter
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -56,5 +60,5 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_repeated_windows)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_repeated_windows)}
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}

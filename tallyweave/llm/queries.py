@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_duplicates, quality, repeats, token_counts, url_filter
+from . import bpe, decontaminate, language_id, near_duplicates, quality, repeats, token_counts, topk, url_filter
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
@@ -64,5 +68,5 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op3_near_duplicates, op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_repeated_windows)}
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_near_duplicates, op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_repeated_windows)}
+ORACLE_SQL: dict[str, str] = {"op2_top_k": topk.oracle_sql(), "op5_url_filter": url_filter.oracle_sql()}

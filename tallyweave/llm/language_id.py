@@ -255,3 +255,16 @@ def predict(docs: DataFrame, model: LanguageModel, *keep: str, text_column: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return docs.select(*keep, F.col(text_column).alias("text__")).mapInArrow(run, f"{ids_schema(docs, *keep)}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language isn't `und`."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared)
+        for batch in slices(batches, text_column, SLICE_BYTES):
+            best, _ = scorer.texts([t or "" for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([b != "und" for b in best]))
+
+    return docs.mapInArrow(run, docs.schema)

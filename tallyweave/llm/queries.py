@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_duplicates, quality, repeats, token_counts, topk, url_filter
+from . import bpe, decontaminate, html_text, language_id, near_duplicates, quality, repeats, token_counts, topk, url_filter
 from .common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -68,5 +73,5 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_near_duplicates, op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_repeated_windows)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_near_duplicates, op4_html_text, op5_url_filter, op6_quality, op7_bpe_round_trip, op8_token_counts, op9_language_id, op10_repeated_windows)}
 ORACLE_SQL: dict[str, str] = {"op2_top_k": topk.oracle_sql(), "op5_url_filter": url_filter.oracle_sql()}

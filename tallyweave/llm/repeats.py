@@ -269,29 +269,51 @@ def _sorted_groups(depth: int):
     return run
 
 
+def _merged(spans: list[dict] | None) -> list[dict]:
+    merged: list[dict] = []
+    for first, end in sorted((r["first"], r["end"]) for r in spans or ()):
+        if merged and first <= merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], end)
+        else:
+            merged.append({"first": first, "end": end})
+    return merged
+
+
+def _without(data: bytes, spans: list[dict]) -> bytes:
+    edges = [0, *(x for m in spans for x in (m["first"], m["end"])), len(data)]
+    return b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+
+
 def _cut(id_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            kept, spans = [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, merged = (text or "").encode(), []
-                for r in sorted((r["first"], r["end"]) for r in found or ()):
-                    if merged and r[0] <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], r[1])
-                    else:
-                        merged.append({"first": r[0], "end": r[1]})
-                edges = [0, *(x for m in merged for x in (m["first"], m["end"])), len(data)]
-                kept.append(b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
-                spans.append(merged)
+            spans = [_merged(x) for x in batch.column(2).to_pylist()]
+            kept = [_without((t or "").encode(), x) for t, x in zip(batch.column(1).to_pylist(), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], [id_column, "kept", "spans"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row its id, `kept` binary (the bytes that stay) and `spans` (first, end) of what went."""
-    text = F.col(text_column)
-    key: Column = F.xxhash64(F.col(id_column).cast("string"), text)
+def _cut_texts(place: int):
+    """The last column has the spans; texts with spans are replaced by what is left, as UTF-8 without broken characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if not x else _without(t.encode(), _merged(x)).decode("utf-8", "ignore") for t, x in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def _key(id_column: str, text_column: str) -> Column:
+    return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column))
+
+
+def repeated_spans(docs: DataFrame, depth: int, largest: int, id_column: str, text_column: str) -> DataFrame:
+    """(k, found): the spans to cut of the texts with key k."""
+    text, key = F.col(text_column), _key(id_column, text_column)
     runs = docs.where(F.octet_length(text) >= depth).select(key.alias("k"), text.alias("text")).mapInArrow(_runs(depth), _RUN_SCHEMA)
     digit, content = Window.partitionBy("h"), Window.partitionBy("h").orderBy("c")
     near = lambda f: F.coalesce(f("c").over(content) == F.col("c"), F.lit(False))
@@ -311,6 +333,19 @@ def remove_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_c
     fetched = texts.join(asked, "k").select("k", "text", "runs").mapInArrow(_fetch(depth), "g long, k long, first int, before int, run int, bytes binary")
     partial = fetched.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_groups(depth), "k long, first int, end int")
     whole = judged.where("repeated").select("k", "first", (F.col("first") + F.col("run") + depth).alias("end"))
-    spans = whole.unionByName(partial).groupBy("k").agg(F.collect_list(F.struct("first", "end")).alias("found"))
-    given = docs.select(key.alias("k"), F.col(id_column), text.alias("text")).join(spans, "k", "left").select(id_column, "text", "found")
-    return given.mapInArrow(_cut(id_column), f"{ids_schema(docs, id_column)}, kept binary, spans array<struct<first: int, end: int>>")
+    return whole.unionByName(partial).groupBy("k").agg(F.collect_list(F.struct("first", "end")).alias("found"))
+
+
+def remove_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """For each row its id, `kept` binary (the bytes that stay) and `spans` (first, end) of what went."""
+    spans = repeated_spans(docs, depth, largest, id_column, text_column)
+    given = docs.select(_key(id_column, text_column).alias("k"), F.col(id_column), F.col(text_column).alias("text")).join(spans, "k", "left")
+    return given.select(id_column, "text", "found").mapInArrow(_cut(id_column), f"{ids_schema(docs, id_column)}, kept binary, spans array<struct<first: int, end: int>>")
+
+
+def cut_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, their texts without repeated windows. Rows of which nothing is left go."""
+    spans = repeated_spans(docs, depth, largest, id_column, text_column)
+    given = docs.withColumn("k__", _key(id_column, text_column)).join(spans.select(F.col("k").alias("k__"), F.col("found").alias("found__")), "k__", "left")
+    cut = given.select(*docs.columns, "found__").mapInArrow(_cut_texts(docs.columns.index(text_column)), docs.schema)
+    return cut.where(F.col(text_column).isNull() | (F.col(text_column) != ""))

@@ -185,7 +185,20 @@ def parse(source: str) -> Page:
         if n.parent >= 0:
             nodes[n.parent].total += n.total
             nodes[n.parent].total_linked += n.total_linked
-    return page
+    return _without_wrappers(page)
+
+
+def _without_wrappers(page: Page) -> Page:
+    """Plain wrappers without text of their own tell nothing, however deeply they are nested: their children go to their parents."""
+    place, kept = [], []
+    for n in page.nodes:
+        if n.parent >= 0 and n.tag in ("div", "section", "center") and not n.own and not n.names:
+            place.append(place[n.parent])
+        else:
+            n.parent = place[n.parent] if n.parent >= 0 else -1
+            place.append(len(kept))
+            kept.append(n)
+    return Page(kept, [(block, place[node], text) for block, node, text in page.runs])
 
 
 _TAGS = ("html", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "table", "td", "blockquote", "pre", "nav", "header", "footer", "aside", "form", "figure", "other")

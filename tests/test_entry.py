@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -40,7 +41,8 @@ def test_entry_works_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT / "tallyweave", tmp_path / "tallyweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'sample_replace_int' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
-    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
 
 
 def test_selftest():

@@ -20,10 +20,13 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ids_schema, slices, split_words
 
 SLICE_BYTES = 8 << 20
+#: Longer rows aren't looked at for the table of frequent pre-tokens.
+SAMPLE_BYTES = 16_000
 #: Pre-tokens that a worker holds beyond the broadcast table before it drops them and begins anew.
 CACHE = 300_000
 
@@ -67,22 +70,13 @@ def _worker(path: str, table) -> Lengths:
 
 
 def frequent_lengths(docs: DataFrame, path: str, frequent: int, sample_rows: int, text_column: str) -> dict[str, int]:
-    """Lengths of the `frequent` commonest pre-tokens of `sample_rows` rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in slices(batches, text_column, SLICE_BYTES):
-            for text in batch.column(0).to_pylist():
-                counts.update(split_words(text or ""))
-            if len(counts) > 8 * frequent:
-                counts = Counter(dict(counts.most_common(4 * frequent)))
-        words = [w for w, _ in counts.most_common(frequent)]
-        lengths = Lengths(path, {})
-        lengths.learn(set(words))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([lengths.known[w] for w in words], pa.int32())], ["word", "n"])
-
-    rows = docs.select(text_column).limit(sample_rows).coalesce(1).mapInArrow(run, "word string, n int").collect()
-    return {r.word: r.n for r in rows}
+    """Lengths of the `frequent` commonest pre-tokens of the first `sample_rows` rows of at most SAMPLE_BYTES bytes; Spark reads as few partitions as give them."""
+    rows = docs.where(F.octet_length(text_column) <= SAMPLE_BYTES).select(text_column).take(sample_rows)
+    counts = Counter(chain.from_iterable(split_words(r[0]) for r in rows))
+    lengths = Lengths(path, {})
+    words = [w for w, _ in counts.most_common(frequent)]
+    lengths.learn(set(words))
+    return {w: lengths.known[w] for w in words}
 
 
 def count_tokens(docs: DataFrame, path: str, frequent: int = 50_000, sample_rows: int = 2_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

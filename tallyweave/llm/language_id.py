@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_schema, slices, split_words
+from .common import ids_schema, slices, split_words, written
 
 SLICE_BYTES = 8 << 20
 BLOCK = 64
+#: Files of the training sample.
+SAMPLE_PARTS = 8
 #: Chunks of text (runs without white space) whose scores a worker holds before it begins anew.
 CACHE = 250_000
 _RUNS = regex.compile(r"\p{L}+")
@@ -185,7 +187,8 @@ def train(docs: DataFrame, labelled: Column, model_path: str, per_language: int
         return LanguageModel([], np.zeros((len(Pieces(model_path, longest).pieces), 0)), model_path, longest)
     # A row is taken if its hash lies below its language's share.
     bound = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(int(min(1.0, per_language / sizes[name]) * 2**53)))])
-    sample = rows.where(F.shiftrightunsigned("h", 11) < F.element_at(bound, F.col("lang"))).select("lang", "text")
+    # Written, so that the rounds read the sample and not the corpus.
+    sample = written(rows.where(F.shiftrightunsigned("h", 11) < F.element_at(bound, F.col("lang"))).select("lang", "text").repartition(SAMPLE_PARTS))
     spark = docs.sparkSession
     probabilities = None
     for _ in range(rounds + 1):

@@ -327,7 +327,8 @@ def repeated_spans(docs: DataFrame, depth: int, largest: int, id_column: str, te
     )
     judged = written(judged)
     shown = judged.where("shown").select("h", "k", "first", "before", "run")
-    large = shown.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("h", F.lit(True).alias("large"))
+    # Written, so that the join knows its size: it is sent to all tasks if it is small, and else a large digit's rows can be split.
+    large = written(shown.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("h", F.lit(True).alias("large")))
     asked = shown.join(large, "h", "left").groupBy("k").agg(F.collect_list(F.struct("h", "first", "before", "run", F.coalesce("large", F.lit(False)).alias("large"))).alias("runs"))
     texts = docs.select(key.alias("k"), text.alias("text"))
     fetched = texts.join(asked, "k").select("k", "text", "runs").mapInArrow(_fetch(depth), "g long, k long, first int, before int, run int, bytes binary")

@@ -36,7 +36,7 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+    return near_duplicates.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

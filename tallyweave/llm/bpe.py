@@ -11,7 +11,6 @@ columns are left out, so clashing names do no harm. An empty table gives an empt
 
 from __future__ import annotations
 
-import functools
 import json
 from array import array
 from collections.abc import Iterator
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from .common import GenerationCache, ids_schema, slices
+from .common import GenerationCache, ids_schema, slices, worker_state
 
 #: Bytes of text that a worker holds with its ids at once; a single longer text is taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: White-space-led chunks and pre-tokens that a worker remembers, in each of two generations.
 CACHE = 150_000
 #: Pairs of tokens whose compatibility a worker remembers, in each of two generations.
@@ -191,17 +190,11 @@ class BacktrackingBPE:
         return self.blob[where].tobytes().decode("utf-8", "replace")
 
 
-@functools.lru_cache(2)
-def worker_bpe(path: str) -> BacktrackingBPE:
-    """One encoder for each worker process and file."""
-    return BacktrackingBPE(path)
-
-
 def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row its id, `ids` array<int> and `decoded` string. No shuffle; the vocabulary is loaded once a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(path)
+        bpe = worker_state(("bpe", path), lambda: BacktrackingBPE(path))
         for batch in slices(batches, text_column, SLICE_BYTES):
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

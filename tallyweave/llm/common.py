@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +31,21 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+_STATE: list = [None, None]
+
+
+def worker_state(key, make: Callable):
+    """What an operator keeps in a worker process between tasks. A worker keeps that of one operator at a time, as workers
+    serve one stage after another and their memory would else add up."""
+    if _STATE[0] != key:
+        _STATE[:] = None, None
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _STATE[:] = key, make()
+    return _STATE[1]
+
+
 class GenerationCache(dict):
     """Values of `make`, for at most 2 * `limit` keys: when the young generation is full it becomes the old one,
     and what is then asked for again returns to the young one. Read with cache[key]."""

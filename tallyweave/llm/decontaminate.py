@@ -21,6 +21,7 @@ find_leaks() and kept by drop_leaks().
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_schema, slices, split_words
+from .common import ids_schema, slices, split_words, worker_state
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,18 +223,6 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, size: int) -> Iterat
         yield block
 
 
-_READY: dict[int, Benchmark] = {}
-
-
-def _ready(shared) -> Benchmark:
-    """Built once in each worker for the block that is searched."""
-    found = _READY.get(id(shared.value))
-    if found is None:
-        _READY.clear()
-        found = _READY[id(shared.value)] = Benchmark(*shared.value)
-    return found
-
-
 def _settings(similarity: float, recall: float, agreeing: float, walks: int, sampled: int, least_words: int) -> tuple:
     return similarity, walks, math.ceil(draws_needed(recall, agreeing, sampled) / walks), sampled, least_words
 
@@ -248,8 +237,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recal
     for block in _blocks(items, item_id, item_text, block_items):
         shared = spark.sparkContext.broadcast((block, *settings))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            benchmark = _ready(shared)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            benchmark = worker_state(("benchmark", key), lambda: Benchmark(*shared.value))
             for batch in slices(batches, "text__", SLICE_BYTES):
                 rows = list(benchmark.matches([t or "" for t in batch.column(1).to_pylist()]))
                 if rows:
@@ -268,8 +257,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recal
     for block in _blocks(items, item_id, item_text, block_items):
         shared = docs.sparkSession.sparkContext.broadcast((block, *settings))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            benchmark = _ready(shared)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            benchmark = worker_state(("benchmark", key), lambda: Benchmark(*shared.value))
             for batch in slices(batches, text_column, SLICE_BYTES):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[m[0] for m in benchmark.matches([t or "" for t in batch.column(place).to_pylist()])]] = False

@@ -14,6 +14,7 @@ With no labelled row every text gives `und`. Null languages and ids are no train
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,14 +25,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_schema, slices, split_words, written
+from .common import ids_schema, slices, split_words, worker_state, written
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 BLOCK = 64
 #: Files of the training sample.
 SAMPLE_PARTS = 8
 #: Chunks of text (runs without white space) whose scores a worker holds before it begins anew.
-CACHE = 250_000
+CACHE = 150_000
 _RUNS = regex.compile(r"\p{L}+")
 #: Probability of a letter that the vocabulary doesn't have, for every language.
 UNKNOWN = 1e-7
@@ -195,7 +196,7 @@ def train(docs: DataFrame, labelled: Column, model_path: str, per_language: int
         given = spark.sparkContext.broadcast(probabilities)
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            pieces = Pieces(model_path, longest)
+            pieces = worker_state(("pieces", model_path, longest), lambda: Pieces(model_path, longest))
             sums = np.zeros((len(pieces.pieces), len(languages)))
             for batch in slices(batches, "text", SLICE_BYTES):
                 counts: dict[str, Counter] = {}
@@ -237,22 +238,12 @@ def expected_counts(pieces: Pieces, probabilities: np.ndarray | None, language:
             np.add.at(sums[:, language], found, times[rows] * alpha[rows, first] * p[found] * beta[rows, behind] / alpha[rows, n])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(model) -> Scorer:
-    found = _SCORERS.get(0)
-    if found is None or found.model is not model.value:
-        found = _SCORERS[0] = Scorer(model.value)
-    return found
-
-
 def predict(docs: DataFrame, model: LanguageModel, *keep: str, text_column: str = "text") -> DataFrame:
     """The columns `keep`, `lang_pred` and `score` of each row. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        scorer = worker_state(("language", key), lambda: Scorer(shared.value))
         for batch in slices(batches, "text__", SLICE_BYTES):
             best, score = scorer.texts([t or "" for t in batch.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
@@ -262,10 +253,10 @@ def predict(docs: DataFrame, model: LanguageModel, *keep: str, text_column: str
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, whose language isn't `und`."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+    shared, place, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        scorer = worker_state(("language", key), lambda: Scorer(shared.value))
         for batch in slices(batches, text_column, SLICE_BYTES):
             best, _ = scorer.texts([t or "" for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array([b != "und" for b in best]))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import GenerationCache, ids_schema, slices, split_words
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 CACHE = 200_000
 #: Kinds of bytes whose shares of a text are statistics.
 KINDS = ("upper", "lower", "digit", "space", "newline", "stop", "mark", "pipe", "beyond ASCII")

@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_schema, slices, written
+from .common import ids_schema, slices, worker_state, written
 
 GRAM = 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Windows that are searched for anchors at once; a place within them takes the low bits of a key.
-SPAN = 1 << 22
+SPAN = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
@@ -175,6 +175,7 @@ def _runs(depth: int):
     """One row for each run of windows: its digit, a hash of its content, how often that occurred in the slice (2: at least twice), its text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("repeats", dict)
         for batch in slices(batches, "text", SLICE_BYTES):
             data, bounds = _bytes_of(batch.column(1))
             first, last, at, h = anchored_runs(data, bounds, depth)

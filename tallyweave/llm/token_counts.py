@@ -14,6 +14,7 @@ library counts them. Null or repeated ids pass through; other columns are left o
 from __future__ import annotations
 
 import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_schema, slices, split_words
+from .common import ids_schema, slices, split_words, worker_state
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Longer rows aren't looked at for the table of frequent pre-tokens.
 SAMPLE_BYTES = 16_000
 #: Pre-tokens that a worker holds beyond the broadcast table before it drops them and begins anew.
@@ -57,18 +58,6 @@ class Lengths:
         return [sum(map(length, w)) for w in words]
 
 
-_WORKERS: dict[str, Lengths] = {}
-
-
-def _worker(path: str, table) -> Lengths:
-    """One of each worker process and file; the broadcast table of the job that runs is its first tier."""
-    found = _WORKERS.get(path)
-    if found is None or found.frequent is not table.value:
-        _WORKERS.clear()
-        found = _WORKERS[path] = Lengths(path, table.value)
-    return found
-
-
 def frequent_lengths(docs: DataFrame, path: str, frequent: int, sample_rows: int, text_column: str) -> dict[str, int]:
     """Lengths of the `frequent` commonest pre-tokens of the first `sample_rows` rows of at most SAMPLE_BYTES bytes; Spark reads as few partitions as give them."""
     rows = docs.where(F.octet_length(text_column) <= SAMPLE_BYTES).select(text_column).take(sample_rows)
@@ -82,10 +71,11 @@ def frequent_lengths(docs: DataFrame, path: str, frequent: int, sample_rows: int
 def count_tokens(docs: DataFrame, path: str, frequent: int = 50_000, sample_rows: int = 2_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row its id, `n_bytes` (UTF-8) and `n_tokens`."""
     spark = docs.sparkSession
+    key = uuid.uuid4().hex  # of this call, as the table is
     table = spark.sparkContext.broadcast(frequent_lengths(docs, path, frequent, sample_rows, text_column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _worker(path, table)
+        lengths = worker_state(("lengths", path, key), lambda: Lengths(path, table.value))
         for batch in slices(batches, text_column, SLICE_BYTES):
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
             counts = lengths.count([t or "" for t in batch.column(1).to_pylist()])

@@ -8,7 +8,10 @@ their edit similarity, 1 - edits / words of the longer, is at least `similarity`
    depends on order and repetition as the edit distance does (Marçais and others, 2019). Each node has `sketches` of them.
 3. Nodes that share a sketch form a bucket. Each is paired with the bucket's smallest and largest node, so a bucket of b nodes
    has at most 2b pairs, whatever its size. Then classes are formed, and in `rounds` more rounds the nodes of buckets that
-   still hold several classes are paired with the smallest node of the smallest and largest class in it.
+   still hold several classes are paired with the smallest node of the smallest and largest class in it. At last every pair of
+   different classes in a bucket is verified or ruled out: texts within the similarity share so many words that they have one in
+   common among the rarest words of each (prefix filter), and rare is counted in the bucket, so that a passage which all its texts
+   hold makes no pairs. Buckets of over `BLOCK_WORDS` words are split into blocks, and each two blocks are compared.
 4. A pair is verified by edit distance along diagonals within the band that the similarity allows. Words are
    compared by 16-bit hashes, so two different ones pass for equal once in 65,536 times.
 
@@ -31,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import GenerationCache, ids_schema, slices, split_words, worker_state, written
 
 SLICE_BYTES = 2 << 20
+#: Words of a block, the unit in which large buckets are compared.
+BLOCK_WORDS = 250_000
+#: Pairs that are held at once while blocks are compared.
+PAIRS = 1 << 20
 CACHE = 150_000
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -177,6 +184,115 @@ def _verified(similarity: float):
     return run
 
 
+def _limit(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that are allowed if the longer text has n words."""
+    return (n * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of texts of one group (on different sides, if the group has two) that join all the labels which verified pairs join.
+    Words are 16-bit hashes; groups, sides and labels are numbers. No pair is left out but those that a bound rules out or whose
+    labels are joined already."""
+    count = np.array([len(w) for w in words], np.int64)
+    text = np.repeat(np.arange(len(words)), count)
+    flat = np.concatenate(words).astype(np.int64)
+    order = np.argsort(text << 16 | flat, kind="stable")
+    flat = flat[order]  # sorted inside each text
+    at = np.arange(len(flat))
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])
+    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
+    # Words labelled by how often they came before, by group.
+    _, token = np.unique(np.stack([group[text], occurrence << 16 | flat], axis=1), axis=0, return_inverse=True)
+    token = token.ravel()
+    frequency = np.bincount(token)
+    start = np.cumsum(count) - count
+    order = np.lexsort((token, frequency[token], text))
+    rank = at - np.repeat(start, count)  # place among the text's words from the rarest on
+    prefix = order[(rank <= np.repeat(_limit(count, similarity), count)) & (frequency[token[order]] > 1)]
+    prefix = prefix[np.lexsort((label[text[prefix]], token[prefix]))]
+    who, what = text[prefix], token[prefix]
+    # Behind each entry, the entries of the same word and another label.
+    size = len(prefix)
+    ends = np.searchsorted(what, what, side="right")
+    change = np.ones(size, bool)
+    change[1:] = (what[1:] != what[:-1]) | (label[who][1:] != label[who][:-1])
+    runs = np.flatnonzero(change)
+    begins = np.append(runs[1:], size)[np.cumsum(change) - 1] if size else np.zeros(0, np.int64)
+    partners = ends - begins
+    two = np.zeros(int(group.max()) + 1, bool)
+    two[group[side == 1]] = True
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = parent.get(y, y)
+            x = y
+        return x
+
+    out: list[tuple[int, int]] = []
+    mark = np.zeros(len(frequency), bool)
+    total = np.cumsum(partners)
+    done, last = 0, 0
+    while done < size:
+        upto = max(done + 1, int(np.searchsorted(total, last + PAIRS, side="right")))
+        times = partners[done:upto]
+        left = np.repeat(who[done:upto], times)
+        inner = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+        right = who[np.repeat(begins[done:upto], times) + inner]
+        last, done = int(total[upto - 1]), upto
+        small, large = np.minimum(count[left], count[right]), np.maximum(count[left], count[right])
+        ok = (small >= large * similarity - 1e-9) & ((side[left] != side[right]) | ~two[group[left]])
+        pairs = np.unique(np.minimum(left, right)[ok] * len(words) + np.maximum(left, right)[ok])
+        first, second = pairs // len(words), pairs % len(words)
+        cuts = np.flatnonzero(np.diff(first, prepend=-1))
+        for begin, end in zip(cuts.tolist(), np.append(cuts, len(pairs))[1:].tolist(), strict=True):
+            a = int(first[begin])
+            tokens = slice(start[a], start[a] + count[a])
+            mark[token[tokens]] = True
+            for b in second[begin:end].tolist():
+                most = max(count[a], count[b])
+                limit = int(most * (1 - similarity) + 1e-9)
+                if root(int(label[a])) == root(int(label[b])) or most - np.count_nonzero(mark[token[start[b] : start[b] + count[b]]]) > limit:
+                    continue
+                if banded_distance(words[a], words[b], limit) <= limit:
+                    out.append((a, b))
+                    parent[root(int(label[a]))] = root(int(label[b]))
+            mark[token[tokens]] = False
+    return out
+
+
+def _compared(similarity: float):
+    """Rows (key, i, j, own, node, label, words), sorted by key, i and j, to links."""
+
+    def links(rows: list[dict]) -> pa.RecordBatch:
+        numbers: dict = {}
+        number = lambda x: numbers.setdefault(x, len(numbers))
+        group = np.array([number((r["key"], r["i"], r["j"])) for r in rows])
+        label = np.array([number(r["label"]) for r in rows])
+        side = np.array([int(r["own"] != r["i"]) for r in rows])
+        pairs = close_pairs([np.frombuffer(r["words"], np.uint16) for r in rows], group, side, label, similarity)
+        ends = [sorted((rows[a]["node"], rows[b]["node"])) for a, b in pairs]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("compare", dict)
+        held, total, last = [], 0, None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1_000):
+                for row in batch.slice(k, 1_000).to_pylist():
+                    group = row["key"], row["i"], row["j"]
+                    if group != last and total >= BLOCK_WORDS:
+                        yield links(held)
+                        held, total = [], 0
+                    held.append(row)
+                    total, last = total + len(row["words"]) // 2, group
+        if held:
+            yield links(held)
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes of links (a, b): label is the smallest node of the component. Alternates large and small stars
     (Kiveris and others, 2014) until nothing changes; each round is written to the shared folder."""
@@ -239,7 +355,17 @@ def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept:
             break
         links = links.unionByName(new)
         labels = components(links)
-    return labels
+    # Buckets of up to three nodes are done: each pair has the smallest or largest node.
+    named = written(buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
+    hashed = F.xxhash64("node").cast("decimal(38,0)")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("b"), F.sum("n").alias("total"), F.sum(hashed).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("t")).where("b > 3 and low != high")
+    # Of buckets with the same nodes one is compared.
+    mixed = written(mixed.groupBy("b", "s", "t").agg(F.min("key").alias("key"), F.max(F.ceil(F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks")).select("key", "blocks"))
+    blocks = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(words, "node")
+    blocks = blocks.select("key", "i", "j", "own", "node", "label", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    new = written(blocks.mapInArrow(_compared(similarity), "a binary, b binary").distinct())
+    return labels if new.isEmpty() else components(links.unionByName(new))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:

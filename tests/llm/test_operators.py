@@ -185,6 +185,19 @@ def test_near_duplicates(spark):
     assert near_duplicates.classes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [250_000, 20_000])
+def test_near_duplicates_inside_a_large_bucket(spark, block, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_WORDS", block, raising=False)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    passage = [word() for _ in range(156)]  # 78 % of each text
+    tails = [[word() for _ in range(44)] for _ in range(2000)]
+    texts = tails + [[word() for _ in range(22)] + tail[22:] for tail in tails[:150]]
+    rows = [(k, " ".join(passage + tail)) for k, tail in enumerate(texts)]
+    got = {x.doc_id: x.class_id for x in near_duplicates.classes(frame(spark, rows)).collect()}
+    assert got == {k: k if k < 2000 else k - 2000 for k in range(len(rows))}
+
+
 def brute_cut(rows, depth):
     seen = Counter()
     raw = [(t or "").encode() for _, t in rows]

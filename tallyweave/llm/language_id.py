@@ -36,6 +36,8 @@ CACHE = 150_000
 _RUNS = regex.compile(r"\p{L}+")
 #: Probability of a letter that the vocabulary doesn't have, for every language.
 UNKNOWN = 1e-7
+#: Places after which sums are rescaled: a place takes a factor of UNKNOWN at least.
+RESCALE = 16
 
 
 class Pieces:
@@ -99,20 +101,36 @@ def blocks_of(run: str) -> list[str]:
     return [run] if len(run) <= BLOCK else [run[k : k + BLOCK] for k in range(0, len(run), BLOCK)]
 
 
-def forward(pieces: Pieces, probabilities: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """(words, places, languages): the summed probability of all segmentations of each beginning of each word."""
+def scaled_forward(pieces: Pieces, probabilities: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, places, languages) and the logs of its scales, which broadcast to it: the summed probability of all segmentations of
+    each beginning of each word is their product. Rescaled every RESCALE places, so that no run of rare letters becomes 0."""
     m, n = codes.shape
     alpha = np.zeros((m, n + 1, probabilities.shape[1]))
     alpha[:, 0] = 1
+    scale = np.zeros((m, n + 1 if n > RESCALE else 1, probabilities.shape[1]))
+
+    def passed(k: int) -> None:
+        if k and k % RESCALE == 0:
+            top = alpha[:, k].copy()
+            alpha[:, k : k + pieces.longest + 1] /= top[:, None]
+            scale[:, k:] += np.log(top)[:, None]
+        alpha[:, k + 1] += alpha[:, k] * UNKNOWN
+
     at = -1
     for first, behind, rows, found in pieces.steps(codes):
         for k in range(at + 1, first + 1):
-            alpha[:, k + 1] += alpha[:, k] * UNKNOWN
+            passed(k)
         at = first
         alpha[rows, behind] += alpha[rows, first] * probabilities[found]
     for k in range(at + 1, n):
-        alpha[:, k + 1] += alpha[:, k] * UNKNOWN
-    return alpha
+        passed(k)
+    return alpha, scale
+
+
+def forward(pieces: Pieces, probabilities: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The same as plain numbers, which are 0 where a double cannot hold them."""
+    alpha, scale = scaled_forward(pieces, probabilities, codes)
+    return alpha * np.exp(scale)
 
 
 @dataclass
@@ -141,7 +159,8 @@ class Scorer:
         for n, group in by_length(words):
             for k in range(0, len(group), 20_000):
                 part = group[k : k + 20_000]
-                logs = np.log(forward(self.pieces, self.model.probabilities, self.pieces.codes(part, n))[:, n])
+                alpha, scale = scaled_forward(self.pieces, self.model.probabilities, self.pieces.codes(part, n))
+                logs = np.log(alpha[:, n]) + scale[:, -1]
                 out.update(zip(part, logs, strict=True))
         return out
 
@@ -227,15 +246,24 @@ def expected_counts(pieces: Pieces, probabilities: np.ndarray | None, language:
                 np.add.at(sums[:, language], found, times[rows])
             continue
         p = probabilities[:, language]
-        alpha = forward(pieces, p[:, None], codes)[:, :, 0]
-        beta = np.zeros((len(group), n + 1))
+        alpha, scale = scaled_forward(pieces, p[:, None], codes)
+        before = np.log(alpha[:, :, 0]) + scale[:, :, 0]
+        beta, scale = np.zeros((len(group), n + 1)), np.zeros((len(group), n + 1))
         beta[:, n] = 1
-        for first in range(n - 1, -1, -1):
-            beta[:, first] = beta[:, first + 1] * UNKNOWN
-            for _, behind, rows, found in (s for s in steps if s[0] == first):
-                beta[rows, first] += p[found] * beta[rows, behind]
+        ending: dict[int, list] = {}
+        for first, behind, rows, found in steps:
+            ending.setdefault(behind, []).append((first, rows, found))
+        for k in range(n, 0, -1):
+            if k < n and k % RESCALE == 0:
+                top = beta[:, k].copy()
+                beta[:, max(0, k - pieces.longest) : k + 1] /= top[:, None]
+                scale[:, : k + 1] += np.log(top)[:, None]
+            beta[:, k - 1] += beta[:, k] * UNKNOWN
+            for first, rows, found in ending.get(k, ()):
+                beta[rows, first] += p[found] * beta[rows, k]
+        after = np.log(beta) + scale
         for first, behind, rows, found in steps:
-            np.add.at(sums[:, language], found, times[rows] * alpha[rows, first] * p[found] * beta[rows, behind] / alpha[rows, n])
+            np.add.at(sums[:, language], found, times[rows] * p[found] * np.exp(before[rows, first] + after[rows, behind] - before[rows, n]))
 
 
 def predict(docs: DataFrame, model: LanguageModel, *keep: str, text_column: str = "text") -> DataFrame:

@@ -300,6 +300,32 @@ def sum_with_unknown(word, p, place):
     return total[-1]
 
 
+def test_runs_of_unknown_letters_keep_the_rest_of_the_text():
+    model, pieces = tiny_model()
+    place = {p: k for k, p in enumerate(pieces.pieces)}
+    scorer, run = language_id.Scorer(model), "\ua500" * 64
+    for n in (16, 17, 47, 63, 64):
+        assert scorer.words([run[:n]])[run[:n]] == pytest.approx([n * np.log(language_id.UNKNOWN)] * 2)
+    word = "thequesthausoflanguagequest"
+    assert scorer.words([word])[word] == pytest.approx([np.log(sum_with_unknown(word, model.probabilities[:, k], place)) for k in (0, 1)])
+    best, score = scorer.texts(["the house and the garden", f"the house and {run} the garden"])
+    assert best[0] == best[1] and score[1] == pytest.approx(score[0]) and 0 < score[1] <= 1
+    for words in (["the", "haus"], ["the", "haus", run]):  # training on it loses nothing either
+        sums = np.zeros(model.probabilities.shape)
+        language_id.expected_counts(pieces, model.probabilities, 0, Counter(words), sums)
+        assert np.isfinite(sums).all()
+        assert len(words) == 3 or (known := sums.copy()).any()
+        assert sums == pytest.approx(known)
+    sums, p = np.zeros(model.probabilities.shape), model.probabilities[:, 0]
+    language_id.expected_counts(pieces, model.probabilities, 0, Counter([word]), sums)
+    want, ends = np.zeros(len(p)), len(word)
+    for a in range(ends):
+        for b in range(a + 1, min(ends, a + 4) + 1):
+            if (k := place.get(word[a:b])) is not None:
+                want[k] += sum_with_unknown(word[:a], p, place) * p[k] * sum_with_unknown(word[b:], p, place) / sum_with_unknown(word, p, place)
+    assert sums[:, 0] == pytest.approx(want)
+
+
 def test_language_id(spark):
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("the house and the garden of the king", "en"), ("das haus und der garten ist schön", "de"), ("la maison et le jardin du roi est", "fr")] * 8)]
     rows += [(90, None, "en"), (91, "", "en"), (92, "12 !!", None), (None, "the the", "en"), (93, "THE KING, the garden.", None), (94, "und der garten" * 3000, None)]

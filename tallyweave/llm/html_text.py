@@ -79,20 +79,21 @@ class Page:
     runs: list[tuple[int, int, str]] = field(default_factory=list)  # (block number, node, text)
 
 
-def _named(attributes: str) -> tuple[tuple[str, ...], int]:
+def _named(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int]:
     names, label = [], -1
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "data-y":
-                label = int(value)
+                if labelled:
+                    label = int(value)
             else:
                 names += [kind for w in _WORD.findall(value) if (kind := _NAMED.get(w.lower()))]
     return tuple(dict.fromkeys(names)), label
 
 
-def parse(source: str) -> Page:
-    """Nodes in page order (parents first) and runs of text."""
+def parse(source: str, labelled: bool = True) -> Page:
+    """Nodes in page order (parents first) and runs of text. Only labelled pages' data-y is read; on others it may hold anything."""
     page = Page()
     nodes, runs = page.nodes, page.runs
     stack: list[tuple[str, int]] = [("#page", 0)]  # element and the node that its text belongs to
@@ -143,7 +144,7 @@ def parse(source: str) -> Page:
                     break
                 if stack[k][0] in LIMITS or (stack[k][0] in BLOCKS and tag not in CLOSED_BY):
                     break
-            names, label = _named(m[3])
+            names, label = _named(m[3], labelled)
             if tag in BLOCKS:
                 block += 1
             if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
@@ -268,7 +269,7 @@ def extract(source: str | None, model: Model) -> list[str]:
     """Blocks of content, in page order."""
     if not source:
         return []
-    page = parse(source)
+    page = parse(source, labelled=False)
     nodes = page.nodes
     unary = [ROOT, *(sum([model.unary[f] for f in features(n)]) for n in nodes[1:])]
     odds, _ = marginals([n.parent for n in nodes], unary, [model.joint[child_kind(n)] for n in nodes])

@@ -412,6 +412,13 @@ def test_html_text(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("value", ['"12.5"', '""', '"top"', '"0"', "'1'", "x"])
+def test_data_y_of_real_pages_is_not_read(value):
+    model = html_text.fit(html_text.labelled_pages(20))
+    plain = html_text.extract(PAGE, model)
+    assert html_text.extract(PAGE.replace("<p>", f"<p data-y={value}>").replace("<nav>", f"<nav data-y={value}>"), model) == plain
+
+
 def test_labelled_pages_that_were_not_trained_on():
     model, wrong, total = html_text.fit(html_text.labelled_pages()), 0, 0
     for source in html_text.labelled_pages(100, seed=99):

@@ -154,7 +154,8 @@ class Benchmark:
         parts = [b"".join(map(known, split_words(t.lower()))) for t in texts]
         ids = np.frombuffer(gap.join([*parts, b""]), np.int32).astype(np.int64)
         ends = np.cumsum([len(p) // 4 + 1 for p in parts])
-        # Places of the benchmark's pairs. Of a pair that follows itself (a word again and again) no more count than an item has.
+        # Places of the benchmark's pairs. Of a pair that follows itself (a word again and again) both ends of the run stay, each as
+        # long as an item has the pair and can be shifted by edits. A window that lies inside equals one at the run's beginning.
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         pair = ids[at] * self.width + ids[at + 1]
         where = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
@@ -163,7 +164,9 @@ class Benchmark:
         again = np.zeros(len(at), bool)
         again[1:] = (where[1:] == where[:-1]) & (at[1:] == at[:-1] + 1)
         heads = np.maximum.accumulate(np.where(again, 0, np.arange(len(at)))) if len(at) else at
-        ok = np.arange(len(at)) - heads < self.most[where]
+        tails = np.append(np.flatnonzero(~again)[1:], len(at))[np.cumsum(~again) - 1] if len(at) else at
+        kept = self.most[where] + int(self.edits.max())
+        ok = (np.arange(len(at)) - heads < kept) | (tails - np.arange(len(at)) <= kept)
         at, where = at[ok], where[ok]
         # Texts with a stretch that has enough of them.
         dense = np.flatnonzero(np.searchsorted(at, at + self.shortest) - np.arange(len(at)) >= self.fewest)

@@ -268,6 +268,16 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(df, items.limit(0)).count() == 0 and decontaminate.find_leaks(frame(spark, []), items).count() == 0
 
 
+@pytest.mark.parametrize("again", [3, 4, 9, 200])
+def test_decontaminate_at_the_end_of_a_repeated_word(again):
+    items = [(0, "alpha very very very bad"), (1, "bad very very very omega")]
+    searched = decontaminate.Benchmark(items, 0.8, 8, 400, 2, 5)
+    text = "it was " + "very " * again + "bad it seems"
+    assert {(x[1], x[3]) for x in searched.matches([text])} == {(0, 1)}
+    text = "it was bad " + "very " * again + "it seems"
+    assert {(x[1], x[3]) for x in searched.matches([text])} == {(1, 1)}
+
+
 def tiny_model():
     path = public_tokenizers.path("piece_bpe_32k.model")
     pieces = language_id.Pieces(path, 4)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import parse_rows, render_columns, render_rows
-from ..operators.sampling import sample_with_replacement, sample_without_replacement
+from ..operators.sampling import Sampler, sample_with_replacement, sample_without_replacement
 from ..sources.tables import population, table
 
 SEED = 42
@@ -22,6 +22,12 @@ def sample_replace_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_with_replacement(population(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "decimal(18,4)"), 2000, SEED)
 
 
+def sample_replace_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that aren't whole at any power of ten."""
+    orders = population(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    return sample_with_replacement(orders.withColumn("weight", F.col("weight") / 7), 2000, SEED)
+
+
 def sample_noreplace_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_without_replacement(population(spark, sf_dir, "part", "p_partkey", "p_size"), 100, SEED)
 
@@ -31,8 +37,8 @@ def sample_noreplace_double(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_continues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = population(spark, sf_dir, "part", "p_partkey", "p_size")
-    return sample_with_replacement(part, 300, SEED).unionByName(sample_with_replacement(part, 300, SEED, 300))
+    sampler = Sampler(population(spark, sf_dir, "part", "p_partkey", "p_size"), seed=SEED)
+    return sampler.sample_frame(300).unionByName(sampler.sample_frame(300))
 
 
 def sample_zero_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def sample_zero_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_as_supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return population(spark, sf_dir, "part", "p_partkey", "p_size")
+    return Sampler(population(spark, sf_dir, "part", "p_partkey", "p_size"), seed=SEED).weights_frame
 
 
 def render_global(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def parse_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rows(render_by_group(spark, sf_dir)).withColumn("value", F.col("value").cast("string"))
 
 
-QUERIES = {f.__name__: f for f in (sample_replace_int, sample_replace_decimal, sample_noreplace_int, sample_noreplace_double, sample_continues, sample_zero_weights, weights_as_supplied, render_global, render_by_group, parse_round_trip)}
+QUERIES = {f.__name__: f for f in (sample_replace_int, sample_replace_decimal, sample_replace_double, sample_noreplace_int, sample_noreplace_double, sample_continues, sample_zero_weights, weights_as_supplied, render_global, render_by_group, parse_round_trip)}
 
 
 def _hash(mode: str, key: str) -> str:
@@ -87,6 +93,7 @@ _LINES = """select event_type, '{"ids":' || cast(sum(event_id) as varchar) || ',
 ORACLE_SQL = {
     "sample_replace_int": _replace("part", "p_partkey", "p_size", 1000),
     "sample_replace_decimal": _replace("orders", "o_orderkey", "cast(o_totalprice as decimal(18,4)) * 10000", 2000),
+    "sample_replace_double": _replace("(select o_orderkey, o_totalprice / cast(7 as double) as w, max(o_totalprice / cast(7 as double)) over () as most from orders)", "o_orderkey", f"greatest(floor(w / most * {float(1 << 52)}), 1)", 2000),
     "sample_noreplace_int": _once("part", "p_partkey", "p_size", 100),
     "sample_noreplace_double": _once("orders", "o_orderkey", "o_totalprice", 1000),
     "sample_continues": _replace("part", "p_partkey", "p_size", 600),

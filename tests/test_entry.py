@@ -35,14 +35,17 @@ def test_core_does_not_import_the_optional_package():
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
 
 
-def test_entry_works_without_the_optional_parts(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_works_without_the_optional_parts(tmp_path, pipeline):
+    """The whole repository less the two folders, with and without the pipeline's file."""
     import shutil
 
-    shutil.copytree(ROOT / "tallyweave", tmp_path / "tallyweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert 'sample_replace_int' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
+    without = shutil.ignore_patterns("llm", "__pycache__", ".git", *(() if pipeline else ("corpus_pipeline.py",)))
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=without)
+    assert (tmp_path / "repo/corpus_pipeline.py").exists() == pipeline or not (ROOT / "corpus_pipeline.py").exists()
+    code = f"import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()) == {set(core.QUERIES)}"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env).returncode == 0
 
 
 def test_selftest():

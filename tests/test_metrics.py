@@ -37,7 +37,7 @@ def test_rejected_values(value):
 
 
 def test_malformed_line():
-    for line in ("{", "[1]", ""):
+    for line in ("{", "[1]", "", '{"a":1,"a":2}', '{"a":NaN}', '{"a":1e999}', '{"a":[1]}'):
         with pytest.raises(ValueError):
             parse_metrics(line)
 
@@ -64,7 +64,24 @@ def test_wide_columns_keep_nulls(spark):
     assert df.select(render_columns("b", "a").alias("l")).first().l == '{"a":null,"b":18446744073709551616}'
 
 
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), float("-inf")])
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_wide_columns_raise_on_what_is_not_finite(spark, value, kind):
+    df = spark.createDataFrame([(value, "NaN")], f"a {kind}, b string")
+    assert df.select(render_columns("b").alias("l")).first().l == '{"b":"NaN"}'
+    with pytest.raises(PySparkException):
+        df.select(render_columns("a")).collect()
+
+
+@pytest.mark.parametrize("value", ["5\n", "007", "", "-", "+1", "1.0"])
+def test_digit_strings_are_strict(spark, value):
+    with pytest.raises(PySparkException):
+        render_rows(spark.createDataFrame([("a", value)], "name string, value string")).collect()
+
+
 def test_rows_raise(spark):
+    with pytest.raises(PySparkException):
+        parse_rows(spark.createDataFrame([('{"a":1,"a":2}',)], "line string")).collect()
     twice = spark.createDataFrame([("a", 1), ("a", 2)], "name string, value long")
     with pytest.raises(PySparkException):
         render_rows(twice).collect()

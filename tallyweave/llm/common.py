@@ -5,16 +5,19 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop, written
+from ..sources.tables import table
+
+__all__ = ["GenerationCache", "drop", "ids_schema", "remainder", "slices", "split_words", "table", "worker_state", "written"]
+
 #: Fixed value: the code points with Unicode's White_Space property.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{WHITE_SPACE}]+")
@@ -22,10 +25,6 @@ _SPACES = regex.compile(f"[{WHITE_SPACE}]+")
 _NOT_SPACES = regex.compile("[\x1c-\x1f]")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -95,24 +94,3 @@ def ids_schema(df: DataFrame, *columns: str) -> str:
     """The DDL of columns that an operator hands on as they are."""
     kinds = dict(df.dtypes)
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tallyweave-")
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder, so that what follows reads it and a lost executor costs no more than its
-    own tasks. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)

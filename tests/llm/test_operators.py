@@ -284,56 +284,78 @@ def tiny_model():
     return language_id.LanguageModel(["a", "b"], np.random.default_rng(1).dirichlet(np.ones(len(pieces.pieces)), 2).T, path, 4), pieces
 
 
-def test_forward_sums_all_segmentations():
+def segmentations(word, place):
+    """Every way to cut `word` into pieces (their numbers) and single letters that stand for themselves (-1)."""
+    if not word:
+        yield []
+        return
+    for n in range(1, min(4, len(word)) + 1):
+        if word[:n] in place:
+            yield from ([place[word[:n]], *rest] for rest in segmentations(word[n:], place))
+    yield from ([-1, *rest] for rest in segmentations(word[1:], place))
+
+
+def test_forward_and_expected_counts_equal_enumeration():
     model, pieces = tiny_model()
     place = {p: k for k, p in enumerate(pieces.pieces)}
-
-    def all_sums(word, language):
-        if not word:
-            return 1.0
-        total = language_id.UNKNOWN * all_sums(word[1:], language) if word[0] not in pieces_letters else 0.0
-        return total + sum(model.probabilities[place[word[:n]], language] * all_sums(word[n:], language) for n in range(1, 5) if word[:n] in place and n <= len(word))
-
-    pieces_letters = set()
-    for word in ("the", "haus", "quest", "été"):
-        got = language_id.forward(pieces, model.probabilities, pieces.codes([word], len(word)))[0, -1]
-        # A letter may also stand for itself with a small probability; that is what the difference may be.
+    for word in ("the", "haus", "quest", "été", "a", "\ua500", "no\ua500"):
+        ways = list(segmentations(word, place))
         for language in (0, 1):
-            exact = sum_with_unknown(word, model.probabilities[:, language], place)
-            assert got[language] == pytest.approx(exact, rel=1e-9)
-
-
-def sum_with_unknown(word, p, place):
-    total = [1.0] + [0.0] * len(word)
+            p = model.probabilities[:, language]
+            chance = [np.prod([language_id.UNKNOWN if k < 0 else p[k] for k in way]) for way in ways]
+            assert language_id.word_logs(pieces, model.probabilities, pieces.codes([word], len(word)))[0, language] == pytest.approx(np.log(sum(chance)))
+            want, sums = np.zeros(len(p)), np.zeros(model.probabilities.shape)
+            for c, way in zip(chance, ways, strict=True):
+                for k in way:
+                    want[k] += 3 * c / sum(chance) if k >= 0 else 0
+            language_id.expected_counts(pieces, model.probabilities, language, Counter({word: 3}), sums)
+            assert sums[:, language] == pytest.approx(want)
+
+
+def log_sum_with_unknown(word, p, place):
+    """Log of the sum over segmentations, in logs all the way."""
+    total = [0.0] + [-np.inf] * len(word)
     for end in range(1, len(word) + 1):
-        total[end] = total[end - 1] * language_id.UNKNOWN + sum(total[start] * p[place[word[start:end]]] for start in range(max(0, end - 4), end) if word[start:end] in place)
+        total[end] = np.logaddexp.reduce([total[end - 1] + np.log(language_id.UNKNOWN)] + [total[start] + np.log(p[place[word[start:end]]]) for start in range(max(0, end - 4), end) if word[start:end] in place])
     return total[-1]
 
 
-def test_runs_of_unknown_letters_keep_the_rest_of_the_text():
+@pytest.mark.parametrize("block", [1, 5, 256])
+def test_words_of_any_length(block, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", block)
     model, pieces = tiny_model()
     place = {p: k for k, p in enumerate(pieces.pieces)}
-    scorer, run = language_id.Scorer(model), "\ua500" * 64
-    for n in (16, 17, 47, 63, 64):
-        assert scorer.words([run[:n]])[run[:n]] == pytest.approx([n * np.log(language_id.UNKNOWN)] * 2)
-    word = "thequesthausoflanguagequest"
-    assert scorer.words([word])[word] == pytest.approx([np.log(sum_with_unknown(word, model.probabilities[:, k], place)) for k in (0, 1)])
-    best, score = scorer.texts(["the house and the garden", f"the house and {run} the garden"])
-    assert best[0] == best[1] and score[1] == pytest.approx(score[0]) and 0 < score[1] <= 1
-    for words in (["the", "haus"], ["the", "haus", run]):  # training on it loses nothing either
-        sums = np.zeros(model.probabilities.shape)
-        language_id.expected_counts(pieces, model.probabilities, 0, Counter(words), sums)
-        assert np.isfinite(sums).all()
-        assert len(words) == 3 or (known := sums.copy()).any()
-        assert sums == pytest.approx(known)
-    sums, p = np.zeros(model.probabilities.shape), model.probabilities[:, 0]
-    language_id.expected_counts(pieces, model.probabilities, 0, Counter([word]), sums)
-    want, ends = np.zeros(len(p)), len(word)
-    for a in range(ends):
-        for b in range(a + 1, min(ends, a + 4) + 1):
-            if (k := place.get(word[a:b])) is not None:
-                want[k] += sum_with_unknown(word[:a], p, place) * p[k] * sum_with_unknown(word[b:], p, place) / sum_with_unknown(word, p, place)
-    assert sums[:, 0] == pytest.approx(want)
+    scorer, run = language_id.Scorer(model), "\ua500" * 5000
+    for n in (16, 17, 47, 63, 64, 255, 256, 257, 5000):
+        assert scorer.words([run[:n]])[0] == pytest.approx([n * np.log(language_id.UNKNOWN)] * 2)
+    words = ["thequesthausoflanguagequest", "thequest" + run[:40] + "haus", "thequesthaus" * 60]
+    for word in words:
+        assert scorer.words([word])[0] == pytest.approx([log_sum_with_unknown(word, model.probabilities[:, k], place) for k in (0, 1)])
+        sums, p = np.zeros(model.probabilities.shape), model.probabilities[:, 0]
+        language_id.expected_counts(pieces, model.probabilities, 0, Counter([word]), sums)
+        want, whole = np.zeros(len(p)), log_sum_with_unknown(word, p, place)
+        for a in range(len(word) if len(word) < 100 else 0):
+            for b in range(a + 1, min(len(word), a + 4) + 1):
+                if (k := place.get(word[a:b])) is not None:
+                    want[k] += np.exp(log_sum_with_unknown(word[:a], p, place) + np.log(p[k]) + log_sum_with_unknown(word[b:], p, place) - whole)
+        assert len(word) >= 100 or sums[:, 0] == pytest.approx(want)
+        # All letters lie in some piece or stand for themselves.
+        assert np.isfinite(sums).all() and (sums[:, 0] * [len(x) for x in pieces.pieces]).sum() <= len(word) + 1e-6
+    best, score, _ = scorer.texts(["the house and the garden", f"the house and {run} the garden"])
+    assert best[0] == best[1] and score[1] == pytest.approx(score[0], abs=1e-6) and 0 < score[1] <= 1
+    assert scorer.texts([run, "", "1 2"])[0] == ["a", "und", "und"] and scorer.texts([run])[1] == pytest.approx([0.5])
+
+
+def test_odd_training_rows_do_not_change_a_model(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the house and the garden of the king", "en"), ("das haus und der garten ist schön", "de")] * 8)]
+    rows.append((90, "a " + "\u1200" * 60, "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True), public_tokenizers.path("piece_bpe_32k.model"))
+    assert np.isfinite(model.probabilities).all()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(df, model, "doc_id").collect()}
+    assert all(got[k][0] == lang and 0 <= got[k][1] <= 1 for k, _, lang in rows)
+    with pytest.raises(ValueError):
+        language_id.train(df, F.lit(True), public_tokenizers.path("piece_bpe_32k.model"), most_languages=1)
 
 
 def test_language_id(spark):
@@ -347,7 +369,9 @@ def test_language_id(spark):
     assert got[90] == got[91] == got[92] == ("und", 0.0) and all(0 <= s <= 1 for _, s in got.values())
     kept = language_id.keep_known(df, model)
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    assert {r.doc_id: r.lang for r in kept.collect()} == {k: v[0] for k, v in got.items() if v[0] != "und"}
     none = language_id.train(df, F.lit(False), path)
+    assert Counter((r.doc_id, r.lang) for r in language_id.keep_known(df, none).collect()) == Counter((k, lang) for k, _, lang in rows if k not in (90, 91, 92))
     assert {r.lang_pred for r in language_id.predict(df, none, "doc_id").collect()} == {"und"}
     assert language_id.predict(df.limit(0), model, "doc_id").count() == 0
 

@@ -3,21 +3,26 @@
 Texts are sequences of words (lower-cased runs of letters, marks and digits). Two texts are linked if they share a sketch and
 their edit similarity, 1 - edits / words of the longer, is at least `similarity`. Classes are the connected components.
 
-1. Equal texts (by MD5) become one node, combined before the shuffle.
+1. Equal texts (by MD5) become one node with a number, combined before the shuffle.
 2. A sketch hashes the `kept` smallest of a node's occurrence-labelled `size`-mers of words, in the order of the text, so it
-   depends on order and repetition as the edit distance does (Marçais and others, 2019). Each node has `sketches` of them.
+   depends on order and repetition as the edit distance does (Marçais and others, 2019). Each node has `sketches` of them: at a
+   similarity of just 0.8, with edits strewn over the text, five-mers agree only to about a fifth, and two nodes share a sketch
+   with a chance of 0.036 each.
 3. Nodes that share a sketch form a bucket. Each is paired with the bucket's smallest and largest node, so a bucket of b nodes
    has at most 2b pairs, whatever its size. Then classes are formed, and in `rounds` more rounds the nodes of buckets that
    still hold several classes are paired with the smallest node of the smallest and largest class in it. At last every pair of
    different classes in a bucket is verified or ruled out: texts within the similarity share so many words that they have one in
    common among the rarest words of each (prefix filter), and rare is counted in the bucket, so that a passage which all its texts
    hold makes no pairs. Buckets of over `BLOCK_WORDS` words are split into blocks, and each two blocks are compared.
-4. A pair is verified by edit distance along diagonals within the band that the similarity allows. Words are
-   compared by 16-bit hashes, so two different ones pass for equal once in 65,536 times.
+4. A pair is verified by edit distance along diagonals within the band that the similarity allows, many pairs at a time. Words
+   are compared by 32-bit hashes.
+
+Sides of joins that bring a hot key together are written first, so that adaptive execution can split the other side.
 
 Edge cases: a null text is in no class but its own, and its class is its own id. Empty texts are equal texts. A text without words is only equal to itself; one with fewer
 than `size` has one k-mer of all it has. Repeated rows are copies. Ids may be null; a class's id is its
-smallest. Other columns are left out by classes() and kept by keep_one().
+smallest, and so is the id that keep_one() keeps (of rows with the same id and text, any one). Other columns, whatever their names, are left out by
+classes() and kept by keep_one(). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GenerationCache, ids_schema, slices, split_words, worker_state, written
+from .common import GenerationCache, drop, slices, split_words, worker_state, written
 
 SLICE_BYTES = 2 << 20
 #: Words of a block, the unit in which large buckets are compared.
@@ -39,6 +44,8 @@ BLOCK_WORDS = 250_000
 #: Pairs that are held at once while blocks are compared.
 PAIRS = 1 << 20
 CACHE = 150_000
+#: Places of the bands of pairs that are verified together.
+BAND = 1 << 20
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.iinfo(np.uint64).max
@@ -95,14 +102,17 @@ class OrderMinHash:
         h = _mixed(h + occurrence.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         first = np.cumsum(mers) - mers
         out = np.empty((len(words), len(self.seeds)), np.uint64)
+        bits = np.uint64(max(1, int(len(h)).bit_length()))
+        place, low = np.arange(len(h), dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1)
         for j, seed in enumerate(self.seeds):
-            v = _mixed(h ^ seed)
-            least = np.full((len(words), self.kept), len(v), np.int64)
+            # The hash in the high bits, the place in the low ones, so that a minimum tells where it is.
+            v = (h * (seed | np.uint64(1))) & ~low | place
+            least = np.full((len(words), self.kept), len(h), np.int64)
             for k in range(self.kept):
-                low = np.minimum.reduceat(v, first) if len(v) else np.zeros(0, np.uint64)
-                hit = np.flatnonzero((v == np.repeat(low, mers)) & (v != _MOST))
-                least[text[hit[::-1]], k] = hit[::-1]
-                v[least[:, k][least[:, k] < len(v)]] = _MOST
+                found = np.minimum.reduceat(v, first) if len(v) else np.zeros(0, np.uint64)
+                some = mers > k
+                least[some, k] = (found[some] & low).astype(np.int64)
+                v[least[some, k]] = _MOST
             sketch = np.full(len(words), seed, np.uint64)
             held = np.append(h, np.uint64(0))
             for p in np.sort(least, axis=1).T:
@@ -154,58 +164,130 @@ def banded_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
+def _limit(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Edits that are allowed if the longer text has n words."""
+    return (n * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def within(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
+    """Whether each two sequences are as similar as that. As banded_distance(), for pairs together."""
+    if not pairs:
+        return np.zeros(0, bool)
+    a, b = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in pairs), strict=True)
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    limit = _limit(m, similarity)
+    # At most the words that are in both, as often as in each, are left as they are.
+    text = np.repeat(np.arange(2 * len(a)), np.concatenate([n, m]))
+    flat = np.concatenate([*a, *b]).astype(np.int64)
+    key = np.sort((text % len(a)) << 33 | flat << 1 | (text >= len(a)))
+    new = np.flatnonzero(np.diff(key, prepend=-1) != 0)
+    times, key = np.diff(np.append(new, len(key))), key[new]
+    both = np.flatnonzero(key[1:] == key[:-1] + 1) if len(key) else new
+    both = both[key[both] & 1 == 0]
+    shared = np.bincount(key[both] >> 33, np.minimum(times[both], times[both + 1]), len(a))
+    ok = np.zeros(len(a), bool)
+    left = np.flatnonzero(m - shared <= limit)
+    left = left[np.argsort(limit[left], kind="stable")]
+    low = 0
+    while low < len(left):
+        # As many as fit, of similar band.
+        size = np.maximum.accumulate(2 * limit[left[low:]] + 3) * np.arange(1, len(left) - low + 1)
+        high = low + max(1, int(np.searchsorted(size, BAND, side="right")))
+        part = left[low:high]
+        ok[part] = _aligned([a[k] for k in part.tolist()], [b[k] for k in part.tolist()], limit[part])
+        low = high
+    return ok
+
+
+def _aligned(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
+    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    ends = [np.array([-1]), np.array([-2])]
+    x = np.concatenate([p for w in a for p in (w.astype(np.int64), ends[0])])
+    y = np.concatenate([p for w in b for p in (w.astype(np.int64), ends[1])])
+    x_at, y_at = np.cumsum(n + 1) - n - 1, np.cumsum(m + 1) - m - 1
+    most = int(limit.max())
+    middle = most + 1
+    diagonal = np.arange(2 * most + 3) - middle  # place in b less place in a
+    reach = np.full((len(a), len(diagonal)), -(1 << 30))
+    reach[:, middle] = 0
+    ok, pair = np.zeros(len(a), bool), np.arange(len(a))
+    for edits in range(most + 1):
+        if edits:
+            new = reach + 1  # replaced
+            np.maximum(new[:, 1:], reach[:, :-1], out=new[:, 1:])  # one more of b
+            np.maximum(new[:, :-1], reach[:, 1:] + 1, out=new[:, :-1])  # one more of a
+            reach = np.minimum(new, np.minimum(n[:, None], m[:, None] - diagonal))
+        # Diagonals from which the end can still be reached.
+        hopeful = np.abs(diagonal - (m - n)[:, None]) <= (limit - edits)[:, None]
+        row, place = np.nonzero(hopeful & (reach >= 0) & (reach + diagonal >= 0))
+        at = reach[row, place]
+        here, there = x_at[row] + at, y_at[row] + at + diagonal[place]
+        going, far = np.arange(len(at)), at.copy()
+        while len(going):
+            going = going[x[here[going]] == y[there[going]]]
+            far[going] += 1
+            here[going] += 1
+            there[going] += 1
+        reach[row, place] = far
+        arrived = reach[np.arange(len(n)), middle + m - n] >= n
+        ok[pair[arrived]] = True
+        stay = np.flatnonzero(~arrived & (limit > edits))
+        if len(stay) < len(pair):
+            pair, n, m, limit, x_at, y_at, reach = (z[stay] for z in (pair, n, m, limit, x_at, y_at, reach))
+            if not len(pair):
+                break
+    return ok
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and their words' hashes; equal texts of a slice once."""
+    words = worker_state("words", Words)
+    for batch in slices(batches, "text", SLICE_BYTES):
+        node = batch.column(0).to_pylist()
+        lead = dict(zip(reversed(node), range(len(node) - 1, -1, -1), strict=True))
+        batch = batch.take(pa.array(sorted(lead.values())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words.of(t) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "words"])
+
+
 def _sketched(method: tuple[int, int, int]):
+    """Rows (id, n, words) to (id, n, key), one for each sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketcher = worker_state(("sketches", method), lambda: (Words(), OrderMinHash(*method)))
-        for batch in slices(batches, "text", SLICE_BYTES):
-            node = batch.column(0).to_pylist()
-            lead = dict(zip(reversed(node), range(len(node) - 1, -1, -1), strict=True))  # equal texts of the slice once
-            rows = sorted(lead.values())
-            batch = batch.take(pa.array(rows))
-            found = [np.frombuffer(words.of(t), np.uint32) for t in batch.column(1).to_pylist()]
-            sketches = sketcher.of(found).view(np.int64)
-            offsets = pa.array(np.arange(len(rows) + 1) * sketches.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in found], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(sketches.ravel())), pa.array([(w >> 7).astype(np.uint16).tobytes() for w in found], pa.binary())], ["node", "n", "sketches", "words"])
+        sketcher = worker_state(("sketches", method), lambda: OrderMinHash(*method))
+        for batch in slices(batches, "words", SLICE_BYTES):
+            sketches = sketcher.of([np.frombuffer(w, np.uint32) for w in batch.column(2).to_pylist()]).view(np.int64)
+            ids, n = (np.repeat(batch.column(k).to_numpy(), sketches.shape[1]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int32()), pa.array(sketches.ravel())], ["id", "n", "key"])
 
     return run
 
 
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            worker_state("verify", dict)
-            ok = np.zeros(batch.num_rows, bool)
-            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-                limit = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
-                ok[k] = banded_distance(x, y, limit) <= limit
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["a", "b", "linked"])
+        worker_state("verify", dict)
+        for batch in slices(batches, "x", SLICE_BYTES):
+            pairs = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(within(pairs, similarity)))
 
     return run
 
 
-def _limit(n: np.ndarray, similarity: float) -> np.ndarray:
-    """Edits that are allowed if the longer text has n words."""
-    return (n * (1 - similarity) + 1e-9).astype(np.int64)
-
-
 def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs of texts of one group (on different sides, if the group has two) that join all the labels which verified pairs join.
-    Words are 16-bit hashes; groups, sides and labels are numbers. No pair is left out but those that a bound rules out or whose
+    Words are 32-bit hashes; groups, sides and labels are numbers. No pair is left out but those that a bound rules out or whose
     labels are joined already."""
     count = np.array([len(w) for w in words], np.int64)
     text = np.repeat(np.arange(len(words)), count)
     flat = np.concatenate(words).astype(np.int64)
-    order = np.argsort(text << 16 | flat, kind="stable")
+    order = np.argsort(text << 32 | flat, kind="stable")
     flat = flat[order]  # sorted inside each text
     at = np.arange(len(flat))
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])
     occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
-    # Words labelled by how often they came before, by group.
-    _, token = np.unique(np.stack([group[text], occurrence << 16 | flat], axis=1), axis=0, return_inverse=True)
-    token = token.ravel()
-    frequency = np.bincount(token)
+    # Words labelled by how often they came before, by group. Were two of them to get one hash, that could add a pair but lose none.
+    hashed = _mixed(_mixed((occurrence << 32 | flat).astype(np.uint64) * _M) + _mixed(group[text].astype(np.uint64) * _M + np.uint64(1)))
+    _, token, frequency = np.unique(hashed, return_inverse=True, return_counts=True)
     start = np.cumsum(count) - count
     order = np.lexsort((token, frequency[token], text))
     rank = at - np.repeat(start, count)  # place among the text's words from the rarest on
@@ -271,22 +353,21 @@ def _compared(similarity: float):
         group = np.array([number((r["key"], r["i"], r["j"])) for r in rows])
         label = np.array([number(r["label"]) for r in rows])
         side = np.array([int(r["own"] != r["i"]) for r in rows])
-        pairs = close_pairs([np.frombuffer(r["words"], np.uint16) for r in rows], group, side, label, similarity)
+        pairs = close_pairs([np.frombuffer(r["words"], np.uint32) for r in rows], group, side, label, similarity)
         ends = [sorted((rows[a]["node"], rows[b]["node"])) for a, b in pairs]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.binary()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("compare", dict)
         held, total, last = [], 0, None
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                for row in batch.slice(k, 1_000).to_pylist():
-                    group = row["key"], row["i"], row["j"]
-                    if group != last and total >= BLOCK_WORDS:
-                        yield links(held)
-                        held, total = [], 0
-                    held.append(row)
-                    total, last = total + len(row["words"]) // 2, group
+        for batch in slices(batches, "words", SLICE_BYTES):
+            for row in batch.to_pylist():
+                group = row["key"], row["i"], row["j"]
+                if group != last and total >= BLOCK_WORDS:
+                    yield links(held)
+                    held, total = [], 0
+                held.append(row)
+                total, last = total + len(row["words"]) // 4, group
         if held:
             yield links(held)
 
@@ -294,8 +375,9 @@ def _compared(similarity: float):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of links (a, b): label is the smallest node of the component. Alternates large and small stars
-    (Kiveris and others, 2014) until nothing changes; each round is written to the shared folder."""
+    """(id, label) of the nodes of links (a, b): label is the smallest node of the component. Alternates large and small stars
+    (Kiveris and others, 2014) until nothing changes; each round is written to the shared folder and the one before dropped. A hub's links are many rows of one key: least
+    neighbours are written before they are joined, so that those rows can be split."""
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -304,89 +386,110 @@ def components(links: DataFrame) -> DataFrame:
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = written(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
-        edges = written(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
-        after = state(edges)
+        new = written(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
+        after = state(new)
+        drop(edges, least, large, low)
+        edges = new
         if after == before:
             break
         before = after
-    labels = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
-    return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+    labels = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("id"), "label")
+    found = written(labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct()))
+    drop(edges)
+    return found
 
 
 def _node(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept: int = 2, sketches: int = 16, rounds: int = 1, text_column: str = "text") -> DataFrame:
-    """(node, label) of the distinct texts that are linked to another one."""
+def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept: int = 2, sketches: int = 80, rounds: int = 1, text_column: str = "text") -> DataFrame:
+    """(node, label) of the distinct texts that are linked to another one; a label is a number."""
     text = F.col(text_column)
     texts = docs.where(text.isNotNull()).select(_node(text).alias("node"), text.alias("text"))
-    found = texts.mapInArrow(_sketched((size, kept, sketches)), "node binary, n int, sketches array<long>, words binary")
-    nodes = written(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "sketches", "words"))))
-    keys = nodes.where("n > 0").select("node", "n", F.explode("sketches").alias("key"))
-    # Written before it is joined, so that a bucket with very many nodes can be split among tasks.
-    ends = written(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
-    buckets = written(keys.join(ends, "key").select("key", "node", "n", "low", "high"))
-    sizes, words = nodes.select("node", "n"), nodes.select("node", "words")
+    distinct = texts.mapInArrow(_worded, "node binary, words binary").groupBy("node").agg(F.first("words").alias("words"))
+    # Written once, so that what numbers the nodes stays.
+    nodes = written(distinct.select(F.monotonically_increasing_id().alias("id"), "node", (F.octet_length("words") / 4).cast("int").alias("n"), "words"))
+    words = nodes.select("id", "words")
+    keys = written(nodes.where("n > 0").select("id", "n", "words").mapInArrow(_sketched((size, kept, sketches)), "id long, n int, key long"))
+    # Most sketches are of one node alone.
+    several = written(keys.groupBy("key").agg(F.count("*").alias("b")).where("b > 1").select("key"))
+    members = written(keys.join(several, "key").select("key", "id", "n"))
+    drop(keys, several)
+    ends = written(members.groupBy("key").agg(F.min("id").alias("low"), F.min_by("n", "id").alias("low_n"), F.max("id").alias("high"), F.max_by("n", "id").alias("high_n")))
+    buckets = written(members.join(ends, "key"))
+    drop(members, ends)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("node != other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         close = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9
-        pairs = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(close).select("a", "b")
-        left = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-        full = left.join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
-        return full.mapInArrow(_verified(similarity), "a binary, b binary, linked boolean").where("linked").select("a", "b")
+        pairs = pairs.where(F.col("id") != F.col("other")).where(close).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        left = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+        full = left.join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
+        return full.mapInArrow(_verified(similarity), "a long, b long")
 
-    pairs = buckets.select("node", F.col("low").alias("other")).unionByName(buckets.select("node", F.col("high").alias("other")))
+    pairs = buckets.select("id", "n", F.col("low").alias("other"), F.col("low_n").alias("m")).unionByName(buckets.select("id", "n", F.col("high").alias("other"), F.col("high_n").alias("m")))
     links = written(verified(pairs))
     labels = components(links)
     for _ in range(rounds):
-        named = written(buckets.join(labels, "node", "left").select("key", "node", "low", "high", F.coalesce("label", "node").alias("label")))
-        bounds = written(named.groupBy("key").agg(F.min(F.struct("label", "node")).alias("s"), F.max(F.struct("label", "node")).alias("t")).where("s.label != t.label"))
+        named = written(buckets.join(labels, "id", "left").select("key", "id", "n", "low", "high", F.coalesce("label", "id").alias("label")))
+        bounds = written(named.groupBy("key").agg(F.min(F.struct("label", "id", "n")).alias("s"), F.max(F.struct("label", "id", "n")).alias("t")).where("s.label != t.label"))
         mixed = named.join(bounds, "key")
-        more = mixed.where("label != s.label").select("node", F.col("s.node").alias("other"), "low", "high").unionByName(mixed.where("label != t.label").select("node", F.col("t.node").alias("other"), "low", "high"))
-        more = more.where("other != low and other != high and node != low and node != high").select("node", "other")
+        more = mixed.where("label != s.label").select("id", "n", F.col("s.id").alias("other"), F.col("s.n").alias("m"), "low", "high").unionByName(mixed.where("label != t.label").select("id", "n", F.col("t.id").alias("other"), F.col("t.n").alias("m"), "low", "high"))
+        more = more.where("other != low and other != high and id != low and id != high").select("id", "n", "other", "m")
         new = written(verified(more))
+        drop(named, bounds)
         if new.isEmpty():
             break
-        links = links.unionByName(new)
+        links = written(links.unionByName(new))
+        drop(labels)
         labels = components(links)
     # Buckets of up to three nodes are done: each pair has the smallest or largest node.
-    named = written(buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-    hashed = F.xxhash64("node").cast("decimal(38,0)")
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("b"), F.sum("n").alias("total"), F.sum(hashed).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("t")).where("b > 3 and low != high")
+    named = written(buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")))
+    drop(buckets)
+    hashed = F.xxhash64("id").cast("decimal(38,0)")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("b"), F.sum("n").alias("total"), F.sum(hashed).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("t")).where("b > 3 and low != high")
     # Of buckets with the same nodes one is compared.
     mixed = written(mixed.groupBy("b", "s", "t").agg(F.min("key").alias("key"), F.max(F.ceil(F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks")).select("key", "blocks"))
-    blocks = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(words, "node")
+    blocks = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("id").alias("node"), "label").join(words.withColumnRenamed("id", "node"), "node")
     blocks = blocks.select("key", "i", "j", "own", "node", "label", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    new = written(blocks.mapInArrow(_compared(similarity), "a binary, b binary").distinct())
-    return labels if new.isEmpty() else components(links.unionByName(new))
+    new = written(blocks.mapInArrow(_compared(similarity), "a long, b long").distinct())
+    if not new.isEmpty():
+        drop(labels)
+        labels = components(links.unionByName(new))
+    found = written(nodes.select("id", "node").join(labels, "id").select("node", "label"))
+    drop(named, mixed, new, links, labels, nodes)
+    return found
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """(id, class_id, class_size) of every row; class_id is the smallest id of the class."""
     labels = node_classes(docs, text_column=text_column, **settings)
-    rows = docs.select(F.col(id_column), _node(F.col(text_column)).alias("node")).join(labels, "node", "left")
-    named = rows.select(id_column, F.coalesce("label", "node").alias("label"))
-    groups = named.where("label is not null").groupBy("label").agg(F.min(id_column).alias("class_id"), F.count("*").alias("class_size"))
-    joined = named.join(groups, "label", "left")
-    return joined.select(id_column, F.when(F.col("label").isNull(), F.col(id_column)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    rows = docs.select(F.col(id_column).alias("id"), _node(F.col(text_column)).alias("node"))
+    # One row for each distinct text, however many copies it has.
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("rows")).join(labels, "node", "left")
+    linked = nodes.where("label is not null").groupBy("label").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
+    named = nodes.join(linked, "label", "left").select("node", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("class_size", "rows").alias("class_size"))
+    # Written before it meets the rows, so that a text with very many copies can be split among tasks.
+    joined = rows.join(written(named), "node", "left")
+    return joined.select(F.col("id").alias(id_column), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
-    """The rows of `docs`, with all their columns, of which one of each class stays: that with the smallest id."""
+    """The rows of `docs`, with all their columns, of which one of each class stays: that with the smallest id. Which
+    stays is settled on ids and hashes; texts move once, by id and hash, so that copies don't meet in one task."""
     labels = node_classes(docs, text_column=text_column, **settings)
     text = F.col(text_column)
     slim = docs.where(text.isNotNull()).select(F.col(id_column).alias("id"), _node(text).alias("node"))
-    nodes = slim.groupBy("node").agg(F.min("id").alias("id"))  # one row for each distinct text
-    label = nodes.join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
-    chosen = label.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("first")).select(F.col("first.node").alias("node__"), F.col("first.id").alias("id__"))
-    given = docs.where(text.isNotNull()).withColumn("node__", _node(text)).withColumn("id__", F.col(id_column))
-    kept = given.join(chosen.withColumnRenamed("id__", "chosen__"), "node__").where(F.col("id__").eqNullSafe(F.col("chosen__")))
-    kept = kept.dropDuplicates(["node__"]).select(*docs.columns)
-    return kept.unionByName(docs.where(text.isNull()))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("first")
+    nodes = slim.groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left")
+    alone = nodes.where("label is null").select("id", "node")
+    chosen = written(alone.unionByName(nodes.where("label is not null").groupBy("label").agg(least).select("first.id", "first.node")))
+    packed = docs.where(text.isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("own"), _node(text).alias("hash"))
+    kept = packed.join(chosen, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("node")), "left_semi")
+    # Rows with the same id and text.
+    return kept.dropDuplicates(["own", "hash"]).select("row.*").unionByName(docs.where(text.isNull()))

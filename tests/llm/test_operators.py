@@ -146,7 +146,79 @@ def test_banded_distance():
             p = r.randint(0, len(b))
             b[p : p + r.randint(0, 1)] = [r.randint(0, 50)] * r.randint(0, 1)
         limit = r.randint(0, 9)
-        assert near_duplicates.banded_distance(np.array(a, np.uint16), np.array(b, np.uint16), limit) == min(levenshtein(a, b), limit + 1)
+        assert near_duplicates.banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), limit) == min(levenshtein(a, b), limit + 1)
+
+
+@pytest.mark.parametrize("band", [1, 1 << 20])
+def test_pairs_are_verified_together(band, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BAND", band)
+    r = random.Random(3)
+    pairs = []
+    for _ in range(400):
+        a = [r.randint(0, r.choice([2, 50])) for _ in range(r.choice([0, 1, 4, 25, 60]))]
+        b = list(a)
+        for _ in range(r.randint(0, 1 + len(a) // 4)):
+            p = r.randint(0, len(b))
+            b[p : p + r.randint(0, 1)] = [r.randint(0, 50)] * r.randint(0, 1)
+        pairs.append((a, b))
+    for similarity in (0.8, 0.95):
+        want = [levenshtein(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9) for a, b in pairs]
+        got = near_duplicates.within([(np.array(a, np.uint32), np.array(b, np.uint32)) for a, b in pairs], similarity)
+        assert got.tolist() == want and 0 < sum(want) < len(pairs)
+    assert near_duplicates.within([], 0.8).tolist() == []
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs with words replaced, put in or taken out all over the text, up to the edits that are allowed."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    rows, kinds = [], []
+    for rate in (0.05, 0.1, 0.15, 0.18, 0.2):
+        for n in (50, 100, 300):
+            for _ in range(40):
+                base = [word() for _ in range(n)]
+                other = list(base)
+                for p in sorted(r.sample(range(n), int(n * rate)), reverse=True):
+                    other[p : p + 1] = r.choice([[word()], [word()], [word()], [], [other[p], word()]]) if rate < 0.15 else [word()]
+                kinds.append(rate)
+                rows += [(2 * len(kinds) - 2, " ".join(base)), (2 * len(kinds) - 1, " ".join(other))]
+    got = {x.doc_id: x.class_id for x in near_duplicates.classes(frame(spark, rows)).collect()}
+    found = defaultdict(list)
+    for k, rate in enumerate(kinds):
+        assert got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1)
+        found[rate].append(got[2 * k + 1] == 2 * k)
+    assert {rate: np.mean(x) for rate, x in found.items() if np.mean(x) < 0.9} == {}
+
+
+def test_classes_equal_those_of_all_pairs(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    words = {k: np.frombuffer(near_duplicates.Words().of(t or ""), np.uint32) for k, t in rows}
+    parent = {k: k for k, _ in rows}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    by_text = {}
+    for k, t in rows:
+        if t is not None:
+            parent[root(k)] = root(by_text.setdefault(t, k))
+    ids = sorted((k for k in by_text.values() if len(words[k])), key=lambda k: len(words[k]))
+    for i, a in enumerate(ids):
+        others = []
+        for b in ids[i + 1 :]:
+            if len(words[b]) * 0.8 > len(words[a]) + 1e-9:
+                break
+            others.append(b)
+        for b, ok in zip(others, near_duplicates.within([(words[a], words[b]) for b in others], 0.8), strict=True):
+            if ok:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = defaultdict(list)
+    for k, _ in rows:
+        want[root(k)].append(k)
+    got = {x.doc_id: x.class_id for x in near_duplicates.classes(frame(spark, rows)).collect()}
+    assert got == {k: min(v) for v in want.values() for k in v}
 
 
 def varied(r, words, edits):

@@ -11,8 +11,8 @@ their edit similarity, 1 - edits / words of the longer, is at least `similarity`
 3. Nodes that share a sketch form a bucket. Each is paired with the bucket's smallest and largest node, so a bucket of b nodes
    has at most 2b pairs, whatever its size. Then classes are formed, and in `rounds` more rounds the nodes of buckets that
    still hold several classes are paired with the smallest node of the smallest and largest class in it. At last every pair of
-   different classes in a bucket is verified or ruled out: texts within the similarity share so many words that they have one in
-   common among the rarest words of each (prefix filter), and rare is counted in the bucket, so that a passage which all its texts
+   different classes in a bucket is verified or ruled out: texts within the similarity share so many pairs of neighbouring words that they have one in
+   common among the rarest of each (prefix filter), and rare is counted in the bucket, so that a passage which all its texts
    hold makes no pairs. Buckets of over `BLOCK_WORDS` words are split into blocks, and each two blocks are compared.
 4. A pair is verified by edit distance along diagonals within the band that the similarity allows, many pairs at a time. Words
    are compared by 32-bit hashes.
@@ -28,6 +28,7 @@ classes() and kept by keep_one(). An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .common import GenerationCache, drop, slices, split_words, worker_state, wr
 
 SLICE_BYTES = 2 << 20
 #: Words of a block, the unit in which large buckets are compared.
-BLOCK_WORDS = 250_000
+BLOCK_WORDS = 1_000_000
 #: Pairs that are held at once while blocks are compared.
 PAIRS = 1 << 20
 CACHE = 150_000
@@ -272,36 +273,68 @@ def _verified(similarity: float):
     return run
 
 
-def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of texts of one group (on different sides, if the group has two) that join all the labels which verified pairs join.
-    Words are 32-bit hashes; groups, sides and labels are numbers. No pair is left out but those that a bound rules out or whose
-    labels are joined already."""
-    count = np.array([len(w) for w in words], np.int64)
-    text = np.repeat(np.arange(len(words)), count)
-    flat = np.concatenate(words).astype(np.int64)
-    order = np.argsort(text << 32 | flat, kind="stable")
-    flat = flat[order]  # sorted inside each text
-    at = np.arange(len(flat))
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])
-    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
-    # Words labelled by how often they came before, by group. Were two of them to get one hash, that could add a pair but lose none.
-    hashed = _mixed(_mixed((occurrence << 32 | flat).astype(np.uint64) * _M) + _mixed(group[text].astype(np.uint64) * _M + np.uint64(1)))
-    _, token, frequency = np.unique(hashed, return_inverse=True, return_counts=True)
-    start = np.cumsum(count) - count
+@dataclass
+class Grams:
+    """Runs of `size` words of several texts, labelled by how often they came before in their text and by the text's group."""
+
+    start: np.ndarray  # of each text in `token`
+    count: np.ndarray
+    token: np.ndarray  # numbers, text by text
+    prefix: np.ndarray  # (text, token, begin, end): texts at places `begin` to `end` have the same token in their prefix and another label
+    who: np.ndarray
+
+    def pairs(self) -> int:
+        return int((self.prefix[3] - self.prefix[2]).sum())
+
+
+def grams_of(words: list[np.ndarray], size: int, group: np.ndarray, label: np.ndarray, similarity: float) -> Grams:
+    """An edit changes at most `size` runs, so of two texts within the similarity at least one shares a run with the other among
+    its `size` * (1 - similarity) * words + 1 rarest ones. A text of fewer than `size` words is one run."""
+    least = [w if len(w) >= size else np.append(w, np.full(size - len(w), _MOST >> np.uint64(1), np.uint64)) for w in words]
+    flat = _mixed(np.concatenate(least).astype(np.uint64) * _M + np.uint64(1))
+    length = np.array([len(w) for w in least], np.int64)
+    count = length - size + 1
+    text, start = np.repeat(np.arange(len(words)), count), np.cumsum(count) - count
+    place = np.arange(len(text)) - start[text] + (np.cumsum(length) - length)[text]
+    run = flat[place]
+    for k in range(1, size):
+        run = run * _M + flat[place + k]
+    # Were two runs to get one hash, that could add a pair but lose none.
+    key = _mixed(run + _mixed(text.astype(np.uint64) * _M))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    at = np.arange(len(key))
+    occurrence = np.empty(len(key), np.int64)
+    occurrence[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    labelled = _mixed(_mixed(run + occurrence.astype(np.uint64) * _M) + _mixed(group[text].astype(np.uint64) * _M + np.uint64(1)))
+    _, token, frequency = np.unique(labelled, return_inverse=True, return_counts=True)
     order = np.lexsort((token, frequency[token], text))
-    rank = at - np.repeat(start, count)  # place among the text's words from the rarest on
-    prefix = order[(rank <= np.repeat(_limit(count, similarity), count)) & (frequency[token[order]] > 1)]
+    rank = at - start[text]  # place among the text's runs from the rarest on
+    allowed = (np.array([len(w) for w in words]) * size * (1 - similarity) + 1e-9).astype(np.int64)
+    prefix = order[(rank <= allowed[text]) & (frequency[token[order]] > 1)]
     prefix = prefix[np.lexsort((label[text[prefix]], token[prefix]))]
     who, what = text[prefix], token[prefix]
-    # Behind each entry, the entries of the same word and another label.
-    size = len(prefix)
+    # Behind each entry, the entries of the same run and another label.
     ends = np.searchsorted(what, what, side="right")
-    change = np.ones(size, bool)
+    change = np.ones(len(who), bool)
     change[1:] = (what[1:] != what[:-1]) | (label[who][1:] != label[who][:-1])
-    runs = np.flatnonzero(change)
-    begins = np.append(runs[1:], size)[np.cumsum(change) - 1] if size else np.zeros(0, np.int64)
-    partners = ends - begins
+    begins = np.append(np.flatnonzero(change)[1:], len(who))[np.cumsum(change) - 1] if len(who) else ends
+    return Grams(start, count, token, np.stack([who, what, begins, ends]), who)
+
+
+def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of texts of one group (on different sides, if the group has two) that join all the labels which verified pairs join.
+    Words are 32-bit hashes; groups, sides and labels are numbers. No pair is left out but those that a bound rules out or whose
+    labels are joined already. Pairs of neighbouring words serve as runs, or single words if they bring fewer pairs together."""
+    count = np.array([len(w) for w in words], np.int64)
+    grams, size = grams_of(words, 2, group, label, similarity), 2
+    if 2 * (1 - similarity) >= 1 or grams.pairs() > 4 * len(words):
+        single = grams_of(words, 1, group, label, similarity)
+        if 2 * (1 - similarity) >= 1 or single.pairs() < grams.pairs():
+            grams, size = single, 1
+    who, _, begins, ends = grams.prefix
+    start, token, partners = grams.start, grams.token, ends - begins
     two = np.zeros(int(group.max()) + 1, bool)
     two[group[side == 1]] = True
     parent: dict[int, int] = {}
@@ -313,10 +346,10 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
         return x
 
     out: list[tuple[int, int]] = []
-    mark = np.zeros(len(frequency), bool)
+    mark = np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
     total = np.cumsum(partners)
     done, last = 0, 0
-    while done < size:
+    while done < len(who):
         upto = max(done + 1, int(np.searchsorted(total, last + PAIRS, side="right")))
         times = partners[done:upto]
         left = np.repeat(who[done:upto], times)
@@ -330,17 +363,19 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
         cuts = np.flatnonzero(np.diff(first, prepend=-1))
         for begin, end in zip(cuts.tolist(), np.append(cuts, len(pairs))[1:].tolist(), strict=True):
             a = int(first[begin])
-            tokens = slice(start[a], start[a] + count[a])
-            mark[token[tokens]] = True
-            for b in second[begin:end].tolist():
-                most = max(count[a], count[b])
-                limit = int(most * (1 - similarity) + 1e-9)
-                if root(int(label[a])) == root(int(label[b])) or most - np.count_nonzero(mark[token[start[b] : start[b] + count[b]]]) > limit:
-                    continue
-                if banded_distance(words[a], words[b], limit) <= limit:
+            others = second[begin:end]
+            tokens = token[start[a] : start[a] + grams.count[a]]
+            mark[tokens] = True
+            n = grams.count[others]
+            before = np.cumsum(n) - n
+            shared = np.add.reduceat(mark[token[np.arange(n.sum()) + np.repeat(start[others] - before, n)]].astype(np.int64), before)
+            mark[tokens] = False
+            most = np.maximum(count[a], count[others])
+            limit = _limit(most, similarity)
+            for b, edits in zip(*(x[np.maximum(most - size + 1, 1) - shared <= size * limit].tolist() for x in (others, limit)), strict=True):
+                if root(int(label[a])) != root(int(label[b])) and banded_distance(words[a], words[b], edits) <= edits:
                     out.append((a, b))
                     parent[root(int(label[a]))] = root(int(label[b]))
-            mark[token[tokens]] = False
     return out
 
 
@@ -454,7 +489,9 @@ def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept:
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("b"), F.sum("n").alias("total"), F.sum(hashed).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("t")).where("b > 3 and low != high")
     # Of buckets with the same nodes one is compared.
     mixed = written(mixed.groupBy("b", "s", "t").agg(F.min("key").alias("key"), F.max(F.ceil(F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks")).select("key", "blocks"))
-    blocks = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = named.join(mixed.where("blocks = 1"), "key").withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    blocks = named.join(mixed.where("blocks > 1"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = whole.unionByName(blocks)
     blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("id").alias("node"), "label").join(words.withColumnRenamed("id", "node"), "node")
     blocks = blocks.select("key", "i", "j", "own", "node", "label", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     new = written(blocks.mapInArrow(_compared(similarity), "a long, b long").distinct())

@@ -168,6 +168,35 @@ def test_pairs_are_verified_together(band, monkeypatch):
     assert near_duplicates.within([], 0.8).tolist() == []
 
 
+@pytest.mark.parametrize("pairs", [1, 1 << 20])
+def test_close_pairs_join_what_all_pairs_join(pairs, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PAIRS", pairs)
+    r = random.Random(7)
+    for _ in range(60):
+        words = []
+        for _ in range(12):
+            base = [r.randint(0, r.choice([3, 9, 40])) for _ in range(r.choice([1, 2, 5, 10, 30]))]
+            words += [np.array(varied_numbers(r, base, r.randint(0, 1 + len(base) // 4)), np.uint32) for _ in range(2)]
+        words = [w for w in words if len(w)]
+        group, side = np.array([r.randint(0, 1) for _ in words]), np.array([r.randint(0, 1) for _ in words])
+        side[group == 0] = 0
+        label = np.arange(len(words))
+        got, want = list(range(len(words))), list(range(len(words)))
+        for links, at in ((near_duplicates.close_pairs(words, group, side, label, 0.8), got), ([(a, b) for a in range(len(words)) for b in range(a) if group[a] == group[b] and (side[a] != side[b] or not side[group == group[a]].any()) and levenshtein(words[a].tolist(), words[b].tolist()) <= int(max(len(words[a]), len(words[b])) * 0.2 + 1e-9)], want)):
+            for a, b in links:
+                old, new = at[a], at[b]
+                at[:] = [new if x == old else x for x in at]
+        assert [[x == y for y in got] for x in got] == [[x == y for y in want] for x in want]
+
+
+def varied_numbers(r, base, edits):
+    base = list(base)
+    for _ in range(edits):
+        p = r.randint(0, len(base))
+        base[p : p + r.randint(0, 1)] = [r.randint(0, 40)] * r.randint(0, 1)
+    return base
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs with words replaced, put in or taken out all over the text, up to the edits that are allowed."""
     r = random.Random(11)

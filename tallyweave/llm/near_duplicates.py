@@ -27,6 +27,7 @@ classes() and kept by keep_one(). An empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -323,10 +324,12 @@ def grams_of(words: list[np.ndarray], size: int, group: np.ndarray, label: np.nd
     return Grams(start, count, token, np.stack([who, what, begins, ends]), who)
 
 
-def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float, nodes: np.ndarray | None = None, failed: GenerationCache | None = None) -> list[tuple[int, int]]:
     """Pairs of texts of one group (on different sides, if the group has two) that join all the labels which verified pairs join.
     Words are 32-bit hashes; groups, sides and labels are numbers. No pair is left out but those that a bound rules out or whose
-    labels are joined already. Pairs of neighbouring words serve as runs, or single words if they bring fewer pairs together."""
+    labels are joined already. Pairs of neighbouring words serve as runs, or single words if they bring fewer pairs together. `failed` holds pairs of `nodes` that
+    were verified before in vain, as many buckets hold the same pair."""
+    nodes, failed = np.arange(len(words)) if nodes is None else nodes, GenerationCache(lambda pair: False, PAIRS) if failed is None else failed
     count = np.array([len(w) for w in words], np.int64)
     grams, size = grams_of(words, 2, group, label, similarity), 2
     if 2 * (1 - similarity) >= 1 or grams.pairs() > 4 * len(words):
@@ -337,14 +340,7 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
     start, token, partners = grams.start, grams.token, ends - begins
     two = np.zeros(int(group.max()) + 1, bool)
     two[group[side == 1]] = True
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := parent.get(x, x)) != x:
-            parent[x] = parent.get(y, y)
-            x = y
-        return x
-
+    joined = label.copy()  # what links join so far
     out: list[tuple[int, int]] = []
     mark = np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
     total = np.cumsum(partners)
@@ -357,13 +353,16 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
         right = who[np.repeat(begins[done:upto], times) + inner]
         last, done = int(total[upto - 1]), upto
         small, large = np.minimum(count[left], count[right]), np.maximum(count[left], count[right])
-        ok = (small >= large * similarity - 1e-9) & ((side[left] != side[right]) | ~two[group[left]])
+        ok = (small >= large * similarity - 1e-9) & ((side[left] != side[right]) | ~two[group[left]]) & (joined[left] != joined[right])
         pairs = np.unique(np.minimum(left, right)[ok] * len(words) + np.maximum(left, right)[ok])
         first, second = pairs // len(words), pairs % len(words)
         cuts = np.flatnonzero(np.diff(first, prepend=-1))
         for begin, end in zip(cuts.tolist(), np.append(cuts, len(pairs))[1:].tolist(), strict=True):
             a = int(first[begin])
             others = second[begin:end]
+            others = others[joined[others] != joined[a]]
+            if not len(others):
+                continue
             tokens = token[start[a] : start[a] + grams.count[a]]
             mark[tokens] = True
             n = grams.count[others]
@@ -372,39 +371,51 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
             mark[tokens] = False
             most = np.maximum(count[a], count[others])
             limit = _limit(most, similarity)
-            for b, edits in zip(*(x[np.maximum(most - size + 1, 1) - shared <= size * limit].tolist() for x in (others, limit)), strict=True):
-                if root(int(label[a])) != root(int(label[b])) and banded_distance(words[a], words[b], edits) <= edits:
-                    out.append((a, b))
-                    parent[root(int(label[a]))] = root(int(label[b]))
+            others = others[np.maximum(most - size + 1, 1) - shared <= size * limit]
+            pairs_of_a = [(min(x, y), max(x, y)) for x in (int(nodes[a]),) for y in nodes[others].tolist()]
+            others = others[[not failed[p] for p in pairs_of_a]]
+            together = 1  # more and more, as the first link may make the others needless
+            while len(others):
+                part, others = others[:together], others[together:]
+                ok = within([(words[a], words[b]) for b in part.tolist()], similarity)
+                for b, linked in zip(part.tolist(), ok.tolist(), strict=True):
+                    if not linked:
+                        failed.put((min(int(nodes[a]), int(nodes[b])), max(int(nodes[a]), int(nodes[b]))), True)
+                    elif joined[a] != joined[b]:
+                        out.append((a, b))
+                        joined[joined == joined[b]] = joined[a]
+                others = others[joined[others] != joined[a]]
+                together = min(64, 2 * together)
     return out
 
 
 def _compared(similarity: float):
     """Rows (key, i, j, own, node, label, words), sorted by key, i and j, to links."""
+    run_id = uuid.uuid4().hex  # the nodes' numbers are those of one call
 
-    def links(rows: list[dict]) -> pa.RecordBatch:
+    def links(rows: list[dict], failed: GenerationCache) -> pa.RecordBatch:
         numbers: dict = {}
         number = lambda x: numbers.setdefault(x, len(numbers))
         group = np.array([number((r["key"], r["i"], r["j"])) for r in rows])
         label = np.array([number(r["label"]) for r in rows])
         side = np.array([int(r["own"] != r["i"]) for r in rows])
-        pairs = close_pairs([np.frombuffer(r["words"], np.uint32) for r in rows], group, side, label, similarity)
+        pairs = close_pairs([np.frombuffer(r["words"], np.uint32) for r in rows], group, side, label, similarity, np.array([r["node"] for r in rows]), failed)
         ends = [sorted((rows[a]["node"], rows[b]["node"])) for a, b in pairs]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("compare", dict)
+        failed = worker_state(("compare", similarity, run_id), lambda: GenerationCache(lambda pair: False, PAIRS // 4))
         held, total, last = [], 0, None
         for batch in slices(batches, "words", SLICE_BYTES):
             for row in batch.to_pylist():
                 group = row["key"], row["i"], row["j"]
                 if group != last and total >= BLOCK_WORDS:
-                    yield links(held)
+                    yield links(held, failed)
                     held, total = [], 0
                 held.append(row)
                 total, last = total + len(row["words"]) // 4, group
         if held:
-            yield links(held)
+            yield links(held, failed)
 
     return run
 

@@ -1,7 +1,7 @@
 """URL verdicts: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
 One pass over the URL finds every term of the vocabulary. A hit counts only if no ASCII letter or digit stands right
-before or after it. A URL is blocked on one strict term, or on `soft_needed` distinct soft terms.
+before or after it. A URL is blocked on one strict term, or on `soft_needed` distinct soft terms; inflections of a term are no distinct ones.
 
 Edge cases: a null URL, or one without ://, has an empty host and path and no rule; its verdict is the vocabulary's. An
 empty table gives an empty table; other columns are left out.
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 
 from .common import ids_schema
 
-#: The vocabulary. Strict terms block alone, soft ones only together.
-STRICT = ("adult", "casino", "escort", "gambling", "hentai", "phishing", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
-SOFT = ("ad", "ads", "bet", "bets", "bonus", "buy", "cheap", "click", "deal", "deals", "farm", "free", "jackpot", "lottery", "nude", "pill", "pills", "popup", "promo", "slots", "track", "tracker", "win", "winner")
+#: The vocabulary. Strict terms block alone, soft ones only together; behind a term stand its inflections.
+STRICT = (("adult",), ("casino", "casinos"), ("escort", "escorts"), ("gambling",), ("hentai",), ("phishing",), ("poker",), ("porn", "porno", "pornography"), ("sex",), ("spam",), ("viagra",), ("warez",), ("xxx",))
+SOFT = (("ad", "ads", "advert", "adverts"), ("bet", "bets", "betting"), ("bonus", "bonuses"), ("buy",), ("cheap", "cheapest"), ("click", "clicks"), ("deal", "deals"), ("farm",), ("free",), ("jackpot", "jackpots"), ("lottery", "lotto"), ("nude", "nudes"), ("pill", "pills"), ("popup", "popups"), ("promo", "promos"), ("slot", "slots"), ("track", "tracker", "tracking"), ("win", "winner", "winners"))
 #: Fixed values: (rule, verdict). A rule is a host and the beginning of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,18 +39,18 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 @dataclass
 class UrlFilter:
-    strict: tuple[str, ...] = STRICT
-    soft: tuple[str, ...] = SOFT
+    strict: tuple[tuple[str, ...], ...] = STRICT
+    soft: tuple[tuple[str, ...], ...] = SOFT
     rules: tuple[tuple[str, str], ...] = RULES
     soft_needed: int = 2
     _automaton: ahocorasick.Automaton = field(init=False, repr=False)
 
     def __post_init__(self):
         self._automaton = ahocorasick.Automaton()
-        for term in self.soft:
-            self._automaton.add_word(term, (term, False))
-        for term in self.strict:
-            self._automaton.add_word(term, (term, True))
+        for terms, is_strict in ((self.soft, False), (self.strict, True)):
+            for forms in terms:
+                for form in forms:
+                    self._automaton.add_word(form, (len(form), forms[0], is_strict))
         self._automaton.make_automaton()
         # By host, the longest path first.
         self._by_host: dict[str, list[tuple[str, str, str]]] = {}
@@ -62,8 +62,8 @@ class UrlFilter:
         """How many strict hits, and which soft terms."""
         text = (url or "").translate(_LOWER)
         strict, soft = 0, set()
-        for last, (term, is_strict) in self._automaton.iter(text) if text else ():
-            first = last - len(term)
+        for last, (size, term, is_strict) in self._automaton.iter(text) if text else ():
+            first = last - size
             if (first < 0 or text[first] not in _WORD) and (last + 1 == len(text) or text[last + 1] not in _WORD):
                 if is_strict:
                     strict += 1
@@ -106,7 +106,7 @@ def filter_urls(pages: DataFrame, settings: UrlFilter | None = None, id_column:
 def oracle_sql() -> str:
     """The same verdicts of `pages` by DuckDB's regular expressions."""
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    term = lambda x: f"regexp_matches(low, '(^|[^a-z0-9])({x})([^a-z0-9]|$)')"
+    term = lambda x: f"regexp_matches(low, '(^|[^a-z0-9])({'|'.join(x)})([^a-z0-9]|$)')"
     fits = [(f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')", rule, verdict) for rule, verdict in sorted(RULES, key=lambda x: -len(x[0])) for h, _, p in [rule.partition("/")]]
     soft = " + ".join(f"cast({term(t)} as int)" for t in SOFT)
     strict = " + ".join(f"cast({term(t)} as int)" for t in STRICT)

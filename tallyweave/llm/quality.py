@@ -4,10 +4,10 @@ Features of a text: hashed words (L2-normalised counts in `buckets` bins), struc
 that the table states). Pairs of features interact through factors of low rank; with the identity
 sum_{i<j} <v_i, v_j> x_i x_j = (|sum_i v_i x_i|^2 - sum_i |v_i|^2 x_i^2) / 2 a text is scored in time linear in its words.
 The machine learns by AdaGrad on the logistic loss, on the driver, from at most `train_rows` labelled rows (chosen by a hash
-of the id); the features of those rows, at most `train_words` distinct words each, are all that reaches the driver.
+of the id); the features of those rows, at most `buckets` bins each, are all that reaches the driver.
 
 Edge cases: a null text counts as empty; an empty text has statistics of 0 and a score like any other. A null stated
-length counts as the text's own. Of several labels of an id the best counts; null labels count as none. Without labelled rows
+length counts as the text's own; the column must be there, and be a number. Of several labels of an id the best counts; null labels count as none. Without labelled rows
 every score is 0.5. Repeated rows are scored each; columns beyond the named ones are left out.
 """
 
@@ -133,7 +133,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: np
     return machine
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = 6_000, train_words: int = 2_000, buckets: int = 1 << 13, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars", label_column: str = "quality", **settings) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = 6_000, buckets: int = 1 << 13, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars", label_column: str = "quality", **settings) -> Machine:
     """A machine of labelled rows where `usable` (of the id) holds."""
     named = labels.where(usable & F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).cast("double").alias("label__"))
     count = max(1, named.count())
@@ -149,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
             texts = [t or "" for t in batch.column(0).to_pylist()]
             row, where, values, stats = features.of(texts, batch.column(1).to_numpy(zero_copy_only=False).astype(float))
             cut = np.searchsorted(row, np.arange(1, len(texts)))
-            pairs = [(w[o], x[o]) for w, x in zip(np.split(where, cut), np.split(values, cut), strict=True) for o in [np.argsort(-x, kind="stable")[:train_words]]]
-            yield pa.RecordBatch.from_arrays([pa.array([w.tolist() for w, _ in pairs], pa.list_(pa.int32())), pa.array([x.astype(np.float32).tolist() for _, x in pairs], pa.list_(pa.float32())), pa.array(list(stats), pa.list_(pa.float64())), batch.column(2)], ["bins", "values", "stats", "label"])
+            limits = pa.array(np.concatenate([[0], cut, [len(row)]]), pa.int32())
+            bins, held = (pa.ListArray.from_arrays(limits, pa.array(x)) for x in (where.astype(np.int32), values.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([bins, held, pa.array(list(stats), pa.list_(pa.float64())), batch.column(2)], ["bins", "values", "stats", "label"])
 
     found = rows.mapInArrow(run, "bins array<int>, values array<float>, stats array<double>, label double").toPandas()
     # The outcome must not depend on the order in which partitions arrive.

@@ -11,10 +11,11 @@ of it is at most floor(n * (1 - similarity)) word edits away.
    any agreement makes a candidate. The number of draws follows from `recall` and the share of places that agree.
 4. Candidates are verified by semi-global alignment, which finds the smallest number of edits to any part of the document around.
 
-The benchmark is read in blocks of at most `block_items` items, each broadcast; a larger benchmark means more passes.
+Items of so few words that no edit is allowed (one to four, at 0.8) are compared exactly, word by word from every place.
 
-Edge cases: null and empty texts hold nothing and match nothing. Items under `least_words` words are not
-searched. An empty benchmark matches nothing. Repeated rows are judged each; ids may be null. Other columns are left out by
+The benchmark is read in blocks of at most `block_items` items and `BLOCK_BYTES` bytes, each broadcast; a larger benchmark means more passes.
+
+Edge cases: null and empty texts, and those without words, hold nothing and match nothing. Of equally good places the first is told. An empty benchmark matches nothing. Repeated rows are judged each; ids may be null. Other columns are left out by
 find_leaks() and kept by drop_leaks().
 """
 
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import ids_schema, slices, split_words, worker_state
 
 SLICE_BYTES = 2 << 20
+#: Bytes of the items of a block.
+BLOCK_BYTES = 32 << 20
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,20 +111,62 @@ class _Chunks(dict):
         return b"".join([self.get(w, b"\0\0\0\0") for w in _WORDS.findall(chunk)])
 
 
+class _Exact:
+    """Short items as a tree of words, walked from all places at once."""
+
+    def __init__(self, items: dict[tuple[int, ...], list], width: int):
+        nodes: dict[tuple[int, int], int] = {}
+        self.items, self.width = {}, width
+        for numbers, ids in items.items():
+            at = 0
+            for word in numbers:
+                at = nodes.setdefault((at, word), len(nodes) + 1)
+            self.items[at] = ids
+        keys = np.array([a * width + w for a, w in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], np.fromiter(nodes.values(), np.int64)[order]
+        self.longest = max(map(len, items))
+        self.is_item = np.zeros(len(nodes) + 1, bool)
+        self.is_item[list(self.items)] = True
+
+    def matches(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """As Benchmark.matches(): the first place of each item in each text. A gap between texts is no word."""
+        place, at = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for n in range(1, self.longest + 1):
+            place, at = place[place + n <= len(ids)], at[place + n <= len(ids)]
+            word = ids[place + n - 1]
+            want = at * self.width + word
+            where = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            ok = (word > 0) & (self.keys[where] == want)
+            place, at = place[ok], self.targets[where[ok]]
+            hit = np.flatnonzero(self.is_item[at])
+            text = np.searchsorted(ends, place[hit], "right")
+            _, first = np.unique(text * len(self.is_item) + at[hit], return_index=True)
+            for k in first.tolist():
+                t, p = int(text[k]), int(place[hit[k]])
+                for item in self.items[int(at[hit[k]])]:
+                    yield t, item, n, 0, p + n - (int(ends[t - 1]) if t else 0)
+
+
 class Benchmark:
     """A block of items, ready for the search."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, walks: int, draws: int, sampled: int, least_words: int):
+    def __init__(self, items: list[tuple[int, str]], similarity: float, walks: int, draws: int, sampled: int):
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.words = [], []
+        self.ids, self.words, short = [], [], {}
         for item_id, text in items:
             words = words_of(text or "")
-            if len(words) >= least_words:
+            numbers = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
+            if int(len(words) * (1 - similarity) + 1e-9):
                 self.ids.append(item_id)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
+                self.words.append(np.array(numbers, np.int64))
+            elif words:
+                short.setdefault(numbers, []).append(item_id)
+        self.width = len(self.vocabulary) + 1
+        self.chunks = _Chunks(self.vocabulary)
+        self.short = _Exact(short, self.width) if short else None
         if not self.ids:
             return
-        self.width = len(self.vocabulary) + 1
         self.size = np.array([len(w) for w in self.words])
         # The small term guards against rounding: 0.2 of 15 words are 3 edits.
         self.edits = (self.size * (1 - similarity) + 1e-9).astype(np.int64)
@@ -138,7 +183,6 @@ class Benchmark:
         # A window with `shared` pairs has a stretch of the shortest size with so many of them.
         self.shortest = int(self.size.min()) - 1
         self.fewest = int((-(-self.shared // -(-(self.size - 1) // self.shortest))).min())
-        self.chunks = _Chunks(self.vocabulary)
 
     def _rows(self, sequences: list[np.ndarray]) -> np.ndarray:
         out = np.full((len(sequences), int(self.size.max())), -1, np.int64)
@@ -148,12 +192,16 @@ class Benchmark:
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item id, words of the item, edits, place of the word behind the match): the best match of each text and item."""
-        if not self.ids or not texts:
+        if not texts or not self.vocabulary:
             return
         known, gap = self.chunks.__getitem__, b"\0\0\0\0"
         parts = [b"".join(map(known, split_words(t.lower()))) for t in texts]
         ids = np.frombuffer(gap.join([*parts, b""]), np.int32).astype(np.int64)
         ends = np.cumsum([len(p) // 4 + 1 for p in parts])
+        if self.short:
+            yield from self.short.matches(ids, ends)
+        if not self.ids:
+            return
         # Places of the benchmark's pairs. Of a pair that follows itself (a word again and again) both ends of the run stay, each as
         # long as an item has the pair and can be shifted by edits. A window that lies inside equals one at the run's beginning.
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
@@ -217,22 +265,24 @@ class Benchmark:
 
 def _blocks(items: DataFrame, item_id: str, item_text: str, size: int) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
+    total = 0
     for row in items.select(item_id, item_text).where(F.col(item_text).isNotNull()).distinct().toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == size:
+        total += len(row[1].encode())
+        if len(block) == size or total >= BLOCK_BYTES:
             yield block
-            block = []
+            block, total = [], 0
     if block:
         yield block
 
 
-def _settings(similarity: float, recall: float, agreeing: float, walks: int, sampled: int, least_words: int) -> tuple:
-    return similarity, walks, math.ceil(draws_needed(recall, agreeing, sampled) / walks), sampled, least_words
+def _settings(similarity: float, recall: float, agreeing: float, walks: int, sampled: int) -> tuple:
+    return similarity, walks, math.ceil(draws_needed(recall, agreeing, sampled) / walks), sampled
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.999, agreeing: float = 0.4, walks: int = 8, sampled: int = 2, least_words: int = 5, block_items: int = 20_000, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.999, agreeing: float = 0.4, walks: int = 8, sampled: int = 2, block_items: int = 20_000, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, item_words, edits, end_word) of each document and item that it holds: its best match. No shuffle."""
-    settings = _settings(similarity, recall, agreeing, walks, sampled, least_words)
+    settings = _settings(similarity, recall, agreeing, walks, sampled)
     spark, out = docs.sparkSession, None
     kind = dict(items.dtypes)[item_id]
     schema = f"{ids_schema(docs, id_column)}, item_id {kind}, item_words int, edits int, end_word int"
@@ -253,9 +303,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recal
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.999, agreeing: float = 0.4, walks: int = 8, sampled: int = 2, least_words: int = 5, block_items: int = 20_000, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.999, agreeing: float = 0.4, walks: int = 8, sampled: int = 2, block_items: int = 20_000, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no item. No shuffle."""
-    settings = _settings(similarity, recall, agreeing, walks, sampled, least_words)
+    settings = _settings(similarity, recall, agreeing, walks, sampled)
     place = docs.columns.index(text_column)
     for block in _blocks(items, item_id, item_text, block_items):
         shared = docs.sparkSession.sparkContext.broadcast((block, *settings))

@@ -47,7 +47,7 @@ def brute(docs, items):
         for _, item in items:
             want = words_of(item or "")
             d = int(len(want) * 0.2 + 1e-9)
-            if len(want) >= 5 and any(levenshtein(want, words[s : s + n]) <= d for s in range(len(words)) for n in range(len(want) - d, len(want) + d + 1)):
+            if want and any(levenshtein(want, words[s : s + n]) <= d for s in range(len(words)) for n in range(len(want) - d, len(want) + d + 1)):
                 return True
         return False
 

@@ -8,10 +8,11 @@ features. The labelled pages are made by labelled_pages() from a seed: layouts w
 sidebars, forms, comments and footers around and inside articles, each element with its label.
 
 Inline elements belong to their block, unless their class or id names a part that isn't content. Scripts, styles, the head and
-other elements without running text are dropped while reading.
+other elements without running text are dropped while reading, and so is what a browser shows only if it cannot do better (noscript, the inside of
+audio, video, canvas, object and iframe). Reading takes time linear in the page, however its tags are nested, left open or broken.
 
 Edge cases: null and empty pages give empty text; text without markup is content. Unclosed and stray tags, comments that don't
-end and cut-off pages are read as far as they go. Repeated rows are read each; other columns are left out.
+end and cut-off pages are read as far as they go; a tag that doesn't end is text. Repeated rows are read each; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import ids_schema, slices, split_words
 
 SLICE_BYTES = 8 << 20
 # What HTML says of its elements.
-DROPPED = frozenset("script style noscript template iframe svg canvas object audio video select textarea button head title math".split())
+DROPPED = frozenset("script style noscript template iframe svg canvas object audio video select textarea button head title annotation annotation-xml".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -52,7 +53,9 @@ NAMES = {
 }
 _NAMED = {word: kind for kind, words in NAMES.items() for word in words.split()}
 _UNWANTED = frozenset(NAMES) - {"content"}
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|</[^>]*>""", re.S)
+_OPENING = re.compile(r"<(?:!--|[!?]|/|(?=[a-zA-Z]))")
+_NAME = re.compile(r"[^\s/>]+")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LANDMARKS = frozenset("nav header footer aside form search menu dialog fieldset".split())
@@ -88,21 +91,96 @@ def _named(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int]:
                 if labelled:
                     label = int(value)
             else:
-                names += [kind for w in _WORD.findall(value) if (kind := _NAMED.get(w.lower()))]
+                names += [kind for w in _WORD.findall(value) if (kind := _NAMED.get(w.lower()))] or ["otherwise"]
     return tuple(dict.fromkeys(names)), label
 
 
+class _Tags:
+    """The tags of a page from left to right. Every search goes on from where the last one ended, or fails once for all."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        self.quoted = True  # quotes keep > from ending a tag, as long as such quotes do end
+
+    def end_of(self, at: int) -> int:
+        """Where the > stands that ends the tag, -1 if there is none."""
+        if self.last[">"] < at:
+            return -1
+        place = at
+        while self.quoted and (m := _STOP.search(self.source, place)):
+            if m[0] == ">":
+                return m.start()
+            # A quote that doesn't end is a letter like any other.
+            place = self.source.find(m[0], m.end()) + 1 if self.last[m[0]] > m.start() else m.end()
+        self.quoted = False
+        return self.source.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str]]:
+        """(begin, end, kind, inside): kind is / for an end tag, empty for a beginning one, ! for what is neither."""
+        at, source = 0, self.source
+        while m := _OPENING.search(source, at):
+            begin, inner = m.span()
+            if m[0] == "<!--":
+                end = source.find("-->", inner)
+                at = len(source) if end < 0 else end + 3
+                yield begin, at, "!", ""
+                continue
+            end = source.find(">", inner) if m[0] != "<" else self.end_of(inner)
+            if end < 0:
+                if self.last[">"] < inner and source.find("<!--", inner) < 0:
+                    return  # nothing ends any more
+                at = inner
+                continue
+            kind = m[0][1:] if m[0] != "</" or source[inner].isalpha() and source[inner].isascii() else "!"
+            skip = yield begin, end + 1, "!" if kind in ("!", "?") else kind, source[inner:end]
+            at = end + 1 if skip is None else skip
+
+
+class _Open:
+    """The open elements, with the places of each kind, so that none has to be searched for."""
+
+    def __init__(self):
+        self.tags, self.nodes, self.blocks = ["#page"], [0], []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+
+    def pop(self) -> str:
+        """The innermost element's tag, empty if it was closed before."""
+        tag = self.tags.pop()
+        self.nodes.pop()
+        if tag:
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+        return tag
+
+    def close(self, k: int) -> None:
+        """Ends an inline element and none of those inside."""
+        self.places[self.tags[k]].pop()
+        self.tags[k] = ""
+
+    def innermost(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
 def parse(source: str, labelled: bool = True) -> Page:
     """Nodes in page order (parents first) and runs of text. Only labelled pages' data-y is read; on others it may hold anything."""
     page = Page()
     nodes, runs = page.nodes, page.runs
-    stack: list[tuple[str, int]] = [("#page", 0)]  # element and the node that its text belongs to
+    stack = _Open()
     block = links = dropped = at = 0
 
     def add(text: str) -> None:
         if not dropped and text and not text.isspace():
             text = html.unescape(text)
-            node = stack[-1][1]
+            node = stack.nodes[-1]
             runs.append((block, node, text))
             n = len(text.strip())
             nodes[node].own += n
@@ -112,63 +190,61 @@ def parse(source: str, labelled: bool = True) -> Page:
             if "©" in text:
                 nodes[node].sign = True
         elif not dropped and text:
-            runs.append((block, stack[-1][1], " "))
+            runs.append((block, stack.nodes[-1], " "))
 
     def pop_to(k: int) -> None:
         nonlocal links, dropped, block
-        for tag, _ in stack[k:]:
+        while len(stack.tags) > k:
+            tag = stack.pop()
             links -= tag == "a"
             dropped -= tag in DROPPED
             block += tag in BLOCKS
-        del stack[k:]
-
-    position, end = 0, len(source)
-    while position < end:
-        m = _TOKEN.search(source, position)
-        if m is None:
-            break
-        add(source[at : m.start()])
-        at = position = m.end()
-        if m[2] is not None:
-            tag = m[2].lower()
-            if tag == "br" or tag == "wbr":
-                if tag == "br" and not dropped:
-                    runs.append((block, stack[-1][1], " "))
-                continue
-            closed = CLOSED_BY.get(tag, ())
-            if tag in CLOSES_P:
-                closed = (*closed, "p")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closed:
+
+    tags = iter(_Tags(source))
+    found = next(tags, None)
+    while found:
+        begin, end, kind, inside = found
+        add(source[at:begin])
+        at, skip = end, None
+        name = _NAME.match(inside) if kind != "!" else None
+        tag = name[0].lower() if name else ""
+        if kind == "/" and tag:
+            k = stack.innermost((tag,))
+            if k:
+                if tag in BLOCKS or tag in DROPPED or not (stack.blocks and stack.blocks[-1] > k):
                     pop_to(k)
-                    break
-                if stack[k][0] in LIMITS or (stack[k][0] in BLOCKS and tag not in CLOSED_BY):
-                    break
-            names, label = _named(m[3], labelled)
+                else:  # an inline end tag does not end the blocks inside
+                    links -= tag == "a"
+                    stack.close(k)
+        elif tag in ("br", "wbr"):
+            if tag == "br" and not dropped:
+                runs.append((block, stack.nodes[-1], " "))
+        elif tag:
+            if tag in CLOSED_BY:
+                k = stack.innermost(CLOSED_BY[tag])
+                if k > stack.innermost(LIMITS):
+                    pop_to(k)
+            elif tag in CLOSES_P and stack.blocks and stack.tags[stack.blocks[-1]] == "p":
+                pop_to(stack.blocks[-1])
+            attributes = inside[name.end() :]
+            names, label = _named(attributes, labelled)
             if tag in BLOCKS:
                 block += 1
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
-                continue
-            if tag in BLOCKS or (names and _UNWANTED.intersection(names)):
-                nodes.append(Node(tag, stack[-1][1], names, label))
-                stack.append((tag, len(nodes) - 1))
-            else:
-                stack.append((tag, stack[-1][1]))
-            links += tag == "a"
-            dropped += tag in DROPPED
-            if tag in RAW:  # nothing in it is markup
-                stop = re.compile(f"</{tag}", re.I).search(source, at)
-                at = position = stop.start() if stop else end
-        elif m[1] is not None:
-            tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCKS or tag in DROPPED or not any(t in BLOCKS for t, _ in stack[k + 1 :]):
-                        pop_to(k)
-                    else:  # an inline end tag does not end the blocks inside
-                        links -= tag == "a"
-                        del stack[k]
-                    break
+            if not (tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW):
+                if tag in BLOCKS or (names and _UNWANTED.intersection(names)):
+                    nodes.append(Node(tag, stack.nodes[-1], names, label))
+                    stack.push(tag, len(nodes) - 1)
+                else:
+                    stack.push(tag, stack.nodes[-1])
+                links += tag == "a"
+                dropped += tag in DROPPED
+                if tag in RAW:  # nothing in it is markup
+                    stop = re.compile(f"</{tag}", re.I).search(source, at)
+                    at = skip = stop.start() if stop else len(source)
+        try:
+            found = tags.send(skip)
+        except StopIteration:
+            found = None
     add(source[at:])
     for n in nodes:
         n.total, n.total_linked = n.own, n.linked
@@ -193,7 +269,7 @@ def _without_wrappers(page: Page) -> Page:
     """Plain wrappers without text of their own tell nothing, however deeply they are nested: their children go to their parents."""
     place, kept = [], []
     for n in page.nodes:
-        if n.parent >= 0 and n.tag in ("div", "section", "center") and not n.own and not n.names:
+        if n.parent >= 0 and n.tag in ("div", "section", "center") and not n.own and n.names in ((), ("otherwise",)):
             place.append(place[n.parent])
         else:
             n.parent = place[n.parent] if n.parent >= 0 else -1
@@ -203,7 +279,7 @@ def _without_wrappers(page: Page) -> Page:
 
 
 _TAGS = ("html", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "table", "td", "blockquote", "pre", "nav", "header", "footer", "aside", "form", "figure", "other")
-FEATURES = ("bias", *(f"tag {t}" for t in _TAGS), *(f"named {k}" for k in NAMES), *(f"links {k}" for k in range(4)), *(f"length {k}" for k in range(6)), "no own text", "ends as a sentence", "copyright", "within a landmark", "within a named part", "within an article", "within neither")
+FEATURES = ("bias", *(f"tag {t}" for t in _TAGS), *(f"named {k}" for k in NAMES), "named otherwise", *(f"links {k}" for k in range(4)), *(f"length {k}" for k in range(6)), "no own text", "ends as a sentence", "copyright", "within a landmark", "within a named part", "within an article", "within neither")
 _INDEX = {name: k for k, name in enumerate(FEATURES)}
 #: The page itself is known to be content: its log-odds.
 ROOT = 20.0
@@ -313,8 +389,10 @@ def fit(pages: list[str], epochs: int = 15, rate: float = 0.3, seed: int = 1) ->
     return Model(weights[:width], [tuple(weights[width + 4 * k : width + 4 * k + 4]) for k in range(len(CHILDREN))])
 
 
-def labelled_pages(count: int = 400, seed: int = 20) -> list[str]:
-    """Pages whose block elements carry their label in data-y."""
+def labelled_pages(count: int = 400, seed: int = 20, names: dict[str, str] | None = None, unnamed: float = 0.15) -> list[str]:
+    """Pages whose block elements carry their label in data-y. `names`: words by kind for class and id, else NAMES; a share of `unnamed` of them are
+    replaced by words that tell nothing, so that the model doesn't lean on names alone."""
+    names = names or NAMES
     r = random.Random(seed)
     syllables = "ba be ko la mi no ra se ti vu an er st".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
@@ -327,7 +405,7 @@ def labelled_pages(count: int = 400, seed: int = 20) -> list[str]:
     some = lambda p, f: f() if r.random() < p else ""
 
     def name(kind: str) -> str:
-        return r.choice(NAMES[kind].split())
+        return word() if r.random() < unnamed else r.choice(names[kind].split())
 
     def short(y: int) -> str:
         return el("p", y, r.choice((sentence(), prose(), words(1, 6)))) if r.random() < 0.5 else r.choice((sentence(), prose(), words(1, 6)))

@@ -9,19 +9,20 @@ equal places. The anchor's hash is the most significant digit: windows are dealt
 of windows with the same anchor (about 85 of them).
 
 1. Rows of one digit whose whole runs have the same content (a second hash) are repeated throughout. Within a
-   slice of texts such rows are combined before the shuffle, so copies in any number send few rows.
+   task such rows are combined before the shuffle: two of them at most keep their digit (of contents that are still remembered), so copies in any
+   number send few rows to it.
 2. A run that is alone with its content, but not with its digit, may share some windows with others: its bytes are fetched,
    and the runs of one digit are sorted from the anchor to the right and to the left by passes of eight bytes,
    most significant first; runs that stand alone drop out. The common prefixes of neighbours give classes for
    each depth, and a window is repeated if another run has both its right and its left class.
-   Digits with over `largest` such runs are not sorted in one task: their windows are dealt out one by one, by
-   a hash of all their bytes, which is exact in the same way.
+   Digits with over `largest` such runs are not sorted in one task: there all passes are taken at once, with a hash of all bytes of a
+   window as the digit, and windows are dealt out one by one.
 3. Spans are joined to the texts again and cut out.
 
-Hashes have 64 bits, those that decide equality without a look at the bytes together 128.
+Wherever hashes decide that runs, windows or texts are equal without a look at the bytes, they have 128 bits.
 
 Edge cases: null and empty texts, and those under `depth` bytes, lose nothing and give empty bytes or what they had.
-Repeated rows are each other's repeats. Ids may be null or repeated; other columns are left out. Spans are byte
+Repeated rows are each other's repeats. Ids may be null or repeated; other columns, whatever their names, are left out by remove_repeats() and kept by cut_repeats(). An empty table gives an empty table. Spans are byte
 offsets; `kept` may break a character, so it is binary.
 """
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_schema, slices, worker_state, written
+from .common import GenerationCache, ids_schema, slices, worker_state, written
 
 GRAM = 32
 SLICE_BYTES = 2 << 20
@@ -44,6 +45,8 @@ SPAN = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
+#: Contents of runs that a task remembers to have sent.
+SENT = 100_000
 #: Runs that are sorted together in one pass of numpy calls.
 SORT_ROWS = 20_000
 
@@ -168,59 +171,75 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64) if x.dtype != np.int64 else x, pa.int64())
 
 
-_RUN_SCHEMA = "h long, c long, n int, k long, first int, before int, run int"
+_RUN_SCHEMA = "h long, c long, k long, j long, p long"
+#: Bits of a run's place in p: bytes before the anchor, windows less 1, and how often its content occurred (2: at least twice).
+_BITS = 12
+
+
+def _place(column: str = "p") -> tuple[Column, Column, Column, Column]:
+    """(first, before, run, n) of a packed place."""
+    p, mask = F.col(column), (1 << _BITS) - 1
+    return F.shiftright(p, 2 * _BITS + 2).cast("int"), F.shiftright(p, _BITS + 2).bitwiseAND(mask).cast("int"), F.shiftright(p, 2).bitwiseAND(mask).cast("int"), p.bitwiseAND(3).cast("int")
 
 
 def _runs(depth: int):
-    """One row for each run of windows: its digit, a hash of its content, how often that occurred in the slice (2: at least twice), its text and place."""
+    """One row for each run of windows: its digit, a hash of its content, its text, and its place with how often the content occurred."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("repeats", dict)
+        sent = GenerationCache(lambda content: 0, SENT)  # of this task, so that a lost task loses it too
         for batch in slices(batches, "text", SLICE_BYTES):
-            data, bounds = _bytes_of(batch.column(1))
+            data, bounds = _bytes_of(batch.column(2))
             first, last, at, h = anchored_runs(data, bounds, depth)
             view, digest = memoryview(data), xxhash.xxh3_64_intdigest
             before, more = at - first, last - first
-            c = np.fromiter((digest(view[a:b], s) for a, b, s in zip(first.tolist(), (last + depth).tolist(), (before * 1024 + more).tolist(), strict=True)), np.uint64, len(first))
+            c = np.fromiter((digest(view[a:b], s) for a, b, s in zip(first.tolist(), (last + depth).tolist(), (before << _BITS | more).tolist(), strict=True)), np.uint64, len(first))
             owner = np.searchsorted(bounds, first, "right") - 1
-            k = batch.column(0).to_numpy()[owner]
+            k, j = (batch.column(x).to_numpy()[owner] for x in (0, 1))
             place = first - bounds[owner]
-            # Of equal runs in the slice one keeps its digit. The others are known to be repeated: they get digits of their own.
-            _, lead, inverse, times = np.unique(np.column_stack([h, c]).view([("h", np.uint64), ("c", np.uint64)]).ravel(), return_index=True, return_inverse=True, return_counts=True)
-            n = np.minimum(times[inverse], 2)
+            # Of equal runs two at most keep their digit. The others are known to be repeated: they get digits of their own.
+            both = np.column_stack([h, c])
+            _, lead, inverse, times = np.unique(both.view([("h", np.uint64), ("c", np.uint64)]).ravel(), return_index=True, return_inverse=True, return_counts=True)
+            contents = both[lead].tobytes()
+            earlier = np.fromiter((sent[contents[x : x + 16]] for x in range(0, len(contents), 16)), np.int64, len(lead))
+            total = np.minimum(earlier + times, 2)
+            for x in np.flatnonzero(total > earlier).tolist():
+                sent.put(contents[16 * x : 16 * x + 16], int(total[x]))
             other = np.ones(len(h), bool)
-            other[lead] = False
+            other[lead[earlier < 2]] = False
             h = np.where(other, (k.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) + place.astype(np.uint64) * np.uint64(_MULTIPLIER), h)
-            yield pa.RecordBatch.from_arrays([_long(h), _long(c), pa.array(n, pa.int32()), pa.array(k, pa.int64()), *(pa.array(x, pa.int32()) for x in (place, before, more))], ["h", "c", "n", "k", "first", "before", "run"])
+            p = ((place << _BITS | before) << _BITS | more) << 2 | total[inverse]
+            yield pa.RecordBatch.from_arrays([_long(x) for x in (h, c, k, j, p)], ["h", "c", "k", "j", "p"])
 
     return run
 
 
 def _fetch(depth: int):
-    """The bytes of the runs that a text has to show; windows of large digits one by one, under the hash of their bytes."""
-    names = ["g", "k", "first", "before", "run", "bytes"]
+    """The bytes of the runs that a text has to show; windows of large digits one by one, under the hash of their bytes, of which `bytes` holds the other half."""
+    names = ["g", "k", "j", "first", "before", "run", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             out: dict[str, list] = {x: [] for x in names}
-            windows: dict[int, list[tuple[int, int]]] = {}
-            for k, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            windows: dict[bytes, list[tuple[int, int, int]]] = {}
+            for k, j, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode()
                 for r in runs:
                     a, b = r["first"], r["first"] + r["run"] + depth
                     if not r["large"]:
-                        for x, v in zip(names, (r["h"], k, a, r["before"], r["run"], data[a:b]), strict=True):
+                        for x, v in zip(names, (r["h"], k, j, a, r["before"], r["run"], data[a:b]), strict=True):
                             out[x].append(v)
                         continue
                     for p in range(a, a + r["run"] + 1):
-                        windows.setdefault(xxhash.xxh3_64_intdigest(data[p : p + depth], (r["h"] ^ (a + r["before"] - p)) & (2**64 - 1)) - 2**63, []).append((k, p))
-            for g, places in windows.items():
-                for i, (k, p) in enumerate(places):
+                        windows.setdefault(xxhash.xxh3_128_digest(data[p : p + depth]), []).append((k, j, p))
+            for digest, places in windows.items():
+                g = int.from_bytes(digest[:8], "big", signed=True)
+                for i, (k, j, p) in enumerate(places):
                     # run -1: a single window; -2: one that is repeated in this slice, and needs no company
                     lead = i == 0
-                    for x, v in zip(names, (g if lead else (g ^ (k + p)) , k, p, 0, -1 if lead and len(places) == 1 else -2, b""), strict=True):
+                    for x, v in zip(names, (g if lead else g ^ (k + p) >> 1, k, j, p, 0, -1 if lead and len(places) == 1 else -2, digest[8:]), strict=True):
                         out[x].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(names, kinds, strict=True)], names)
 
     return run
@@ -229,43 +248,39 @@ def _fetch(depth: int):
 def _sorted_groups(depth: int):
     """Repeated windows of rows that come sorted by digit; whole digits are gathered up to SORT_ROWS rows."""
 
-    def work(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        g, k, first, before, run = (np.array([r[x] for r in rows], np.int64) for x in range(5))
+    def work(rows: list[tuple]) -> pa.RecordBatch:
+        g, k, j, first, before, run = (np.array([r[x] for r in rows], np.int64) for x in range(6))
         single = run < 0
-        out = []
+        out = [(np.zeros(0, np.int64),) * 3]
         if single.any():
             part = np.flatnonzero(single)
-            _, inverse, times = np.unique(g[part], return_inverse=True, return_counts=True)
+            both = np.column_stack([g[part], np.frombuffer(b"".join([rows[x][6] for x in part.tolist()]), np.int64)])
+            _, inverse, times = np.unique(both.view([("g", np.int64), ("c", np.int64)]).ravel(), return_inverse=True, return_counts=True)
             hit = part[(times[inverse] > 1) | (run[part] == -2)]
-            out.append((k[hit], first[hit]))
+            out.append((k[hit], j[hit], first[hit]))
         part = np.flatnonzero(~single)
         if len(part) > 1:
-            row, window = repeated_windows(g[part], [rows[x][5] for x in part.tolist()], before[part], run[part], depth)
-            out.append((k[part[row]], first[part[row]] + window))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        k, p = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((p, k))
-        k, p = k[order], p[order]
+            row, window = repeated_windows(g[part], [rows[x][6] for x in part.tolist()], before[part], run[part], depth)
+            out.append((k[part[row]], j[part[row]], first[part[row]] + window))
+        k, j, p = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((p, j, k))
+        k, j, p = k[order], j[order], p[order]
         new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (p[1:] > p[:-1] + depth)
+        new[1:] = (k[1:] != k[:-1]) | (j[1:] != j[:-1]) | (p[1:] > p[:-1] + depth)
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(k)) - 1 if len(k) else heads
-        return k[heads], p[heads], p[tails] + depth
+        return pa.RecordBatch.from_arrays([_long(k[heads]), _long(j[heads]), pa.array(p[heads], pa.int32()), pa.array(p[tails] + depth, pa.int32())], ["k", "j", "first", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        ready = SORT_ROWS
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= ready and row[0] != held[-1][0]:
-                    k, a, b = work(held)
-                    yield pa.RecordBatch.from_arrays([_long(k), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["k", "first", "end"])
+                if len(held) >= SORT_ROWS and row[0] != held[-1][0]:
+                    yield work(held)
                     held = []
                 held.append(row)
         if held:
-            k, a, b = work(held)
-            yield pa.RecordBatch.from_arrays([_long(k), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["k", "first", "end"])
+            yield work(held)
 
     return run
 
@@ -295,11 +310,11 @@ def _cut(id_column: str):
     return run
 
 
-def _cut_texts(place: int):
+def _cut_texts(place: int, column: str):
     """The last column has the spans; texts with spans are replaced by what is left, as UTF-8 without broken characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column, SLICE_BYTES):
             texts = [t if not x else _without(t.encode(), _merged(x)).decode("utf-8", "ignore") for t, x in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             columns = batch.columns[:-1]
             columns[place] = pa.array(texts, pa.string())
@@ -308,46 +323,59 @@ def _cut_texts(place: int):
     return run
 
 
-def _key(id_column: str, text_column: str) -> Column:
-    return F.xxhash64(F.col(id_column).cast("string"), F.col(text_column))
+def _free(df: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _keys(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """128 bits for the id and text of a row."""
+    own, text = F.col(id_column).cast("string"), F.col(text_column)
+    return F.xxhash64(own, text).alias("k"), F.xxhash64(F.lit(7), text, own).alias("j")
 
 
 def repeated_spans(docs: DataFrame, depth: int, largest: int, id_column: str, text_column: str) -> DataFrame:
-    """(k, found): the spans to cut of the texts with key k."""
-    text, key = F.col(text_column), _key(id_column, text_column)
-    runs = docs.where(F.octet_length(text) >= depth).select(key.alias("k"), text.alias("text")).mapInArrow(_runs(depth), _RUN_SCHEMA)
+    """(k, j, found): the spans to cut of the texts with keys k and j."""
+    if depth >> _BITS or depth <= GRAM:
+        raise ValueError(f"depth must be over {GRAM} and under {1 << _BITS}")
+    text, keys = F.col(text_column), _keys(id_column, text_column)
+    runs = docs.where(F.octet_length(text) >= depth).select(*keys, text.alias("text")).mapInArrow(_runs(depth), _RUN_SCHEMA)
     digit, content = Window.partitionBy("h"), Window.partitionBy("h").orderBy("c")
     near = lambda f: F.coalesce(f("c").over(content) == F.col("c"), F.lit(False))
+    first, before, run, n = _place()
     judged = (
         runs.withColumn("led", near(F.lag))
-        .withColumn("repeated", F.col("led") | near(F.lead) | (F.col("n") > 1))
+        .withColumn("repeated", F.col("led") | near(F.lead) | (n > 1))
         .withColumn("several", F.min("c").over(digit) != F.max("c").over(digit))
         .withColumn("shown", F.col("several") & ~F.col("led"))
         .where(F.col("repeated") | F.col("shown"))
-        .select("h", "k", "first", "before", "run", "repeated", "shown")
+        .select("h", "k", "j", first.alias("first"), before.alias("before"), run.alias("run"), "repeated", "shown")
     )
     judged = written(judged)
-    shown = judged.where("shown").select("h", "k", "first", "before", "run")
+    shown = judged.where("shown").select("h", "k", "j", "first", "before", "run")
     # Written, so that the join knows its size: it is sent to all tasks if it is small, and else a large digit's rows can be split.
     large = written(shown.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("h", F.lit(True).alias("large")))
-    asked = shown.join(large, "h", "left").groupBy("k").agg(F.collect_list(F.struct("h", "first", "before", "run", F.coalesce("large", F.lit(False)).alias("large"))).alias("runs"))
-    texts = docs.select(key.alias("k"), text.alias("text"))
-    fetched = texts.join(asked, "k").select("k", "text", "runs").mapInArrow(_fetch(depth), "g long, k long, first int, before int, run int, bytes binary")
-    partial = fetched.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_groups(depth), "k long, first int, end int")
-    whole = judged.where("repeated").select("k", "first", (F.col("first") + F.col("run") + depth).alias("end"))
-    return whole.unionByName(partial).groupBy("k").agg(F.collect_list(F.struct("first", "end")).alias("found"))
+    # Sets: rows with the same id and text ask for the same, so a list has no more than one text's runs.
+    asked = shown.join(large, "h", "left").groupBy("k", "j").agg(F.collect_set(F.struct("h", "first", "before", "run", F.coalesce("large", F.lit(False)).alias("large"))).alias("runs"))
+    texts = docs.where(F.octet_length(text) >= depth).select(*keys, text.alias("text"))
+    fetched = texts.join(asked, ["k", "j"]).select("k", "j", "text", "runs").mapInArrow(_fetch(depth), "g long, k long, j long, first int, before int, run int, bytes binary")
+    partial = fetched.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_groups(depth), "k long, j long, first int, end int")
+    whole = judged.where("repeated").select("k", "j", "first", (F.col("first") + F.col("run") + depth).alias("end"))
+    return whole.unionByName(partial).groupBy("k", "j").agg(F.collect_set(F.struct("first", "end")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row its id, `kept` binary (the bytes that stay) and `spans` (first, end) of what went."""
     spans = repeated_spans(docs, depth, largest, id_column, text_column)
-    given = docs.select(_key(id_column, text_column).alias("k"), F.col(id_column), F.col(text_column).alias("text")).join(spans, "k", "left")
-    return given.select(id_column, "text", "found").mapInArrow(_cut(id_column), f"{ids_schema(docs, id_column)}, kept binary, spans array<struct<first: int, end: int>>")
+    given = docs.select(*_keys(id_column, text_column), F.col(id_column).alias("own"), F.col(text_column).alias("text")).join(spans, ["k", "j"], "left")
+    return given.select(F.col("own").alias(id_column), "text", "found").mapInArrow(_cut(id_column), f"{ids_schema(docs, id_column)}, kept binary, spans array<struct<first: int, end: int>>")
 
 
 def cut_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, their texts without repeated windows. Rows of which nothing is left go."""
     spans = repeated_spans(docs, depth, largest, id_column, text_column)
-    given = docs.withColumn("k__", _key(id_column, text_column)).join(spans.select(F.col("k").alias("k__"), F.col("found").alias("found__")), "k__", "left")
-    cut = given.select(*docs.columns, "found__").mapInArrow(_cut_texts(docs.columns.index(text_column)), docs.schema)
+    given = docs.select(*_keys(id_column, text_column), F.struct(*docs.columns).alias("row")).join(spans, ["k", "j"], "left")
+    cut = given.select("row.*", F.col("found").alias(_free(docs, "found"))).mapInArrow(_cut_texts(docs.columns.index(text_column), text_column), docs.schema)
     return cut.where(F.col(text_column).isNull() | (F.col(text_column) != ""))

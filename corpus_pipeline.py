@@ -12,28 +12,32 @@ from tallyweave.llm.common import remainder, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no letters) go."""
+    """Documents without a letter go, null and empty texts among them; `lang` tells the predicted language of the others. The model learns from the
+    labelled rows of `docs`; where there are none, `lang` stays as it is. Repeated rows are judged each, very long texts whole; languages that
+    fit equally well: the first by name. An empty table gives an empty table."""
     model = language_id.train(docs, remainder("doc_id", 3) != 1, public_tokenizers.path("piece_bpe_32k.model"))
     return language_id.keep_known(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
+    """Of each class of near duplicates the document with the smallest id stays (a null id only if all are), of repeated rows one. Null texts stay,
+    empty ones are copies of each other."""
     return near_duplicates.keep_one(docs)
 
 
 def cut_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 200 bytes are cut out; n_chars follows the text, and documents of which nothing is left go."""
+    """Repeated strings of 200 bytes are cut out in all places, and what is left of a broken character with them; n_chars follows the text. Documents of
+    which nothing is left go, empty ones among them; null texts stay. Repeated rows are each other's repeats."""
     return repeats.cut_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none, and null and empty items are in no text."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left, encoded and decoded."""
+    """Token counts and digests of what is left, encoded and decoded; a null text counts as empty. Repeated rows are encoded each."""
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 

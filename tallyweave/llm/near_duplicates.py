@@ -9,8 +9,7 @@ their edit similarity, 1 - edits / words of the longer, is at least `similarity`
    similarity of just 0.8, with edits strewn over the text, five-mers agree only to about a fifth, and two nodes share a sketch
    with a chance of 0.036 each.
 3. Nodes that share a sketch form a bucket. Each is paired with the bucket's smallest and largest node, so a bucket of b nodes
-   has at most 2b pairs, whatever its size. Then classes are formed, and in `rounds` more rounds the nodes of buckets that
-   still hold several classes are paired with the smallest node of the smallest and largest class in it. At last every pair of
+   has at most 2b pairs, whatever its size. Then classes are formed, and in buckets that still hold several of them every pair of
    different classes in a bucket is verified or ruled out: texts within the similarity share so many pairs of neighbouring words that they have one in
    common among the rarest of each (prefix filter), and rare is counted in the bucket, so that a passage which all its texts
    hold makes no pairs. Buckets of over `BLOCK_WORDS` words are split into blocks, and each two blocks are compared.
@@ -35,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import GenerationCache, drop, slices, split_words, worker_state, written
@@ -420,40 +419,53 @@ def _compared(similarity: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) of the nodes of links (a, b): label is the smallest node of the component. Alternates large and small stars
-    (Kiveris and others, 2014) until nothing changes; each round is written to the shared folder and the one before dropped. A hub's links are many rows of one key: least
-    neighbours are written before they are joined, so that those rows can be split."""
+def _measured(df: DataFrame) -> tuple[DataFrame, int, object]:
+    """Links (a, b) written, how many there are and a sum of their hashes, in one pass."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+    return table, seen.get["n"], seen.get["s"]
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(edges)
+def components(links: DataFrame) -> DataFrame:
+    """(id, label) of the nodes of links (a, b): label is the smallest node of the component. Alternates large and small stars
+    (Kiveris and others, 2014) until each node hangs on one root; each round is written to the shared folder and the one before dropped. A hub's links are many rows of one
+    key: least neighbours are written before they are joined, so that those rows can be split."""
+    edges, n, s = _measured(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = written(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a")
-        new = written(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
-        after = state(new)
-        drop(edges, least, large, low)
-        edges = new
-        if after == before:
+        large, moved, sum_of_moved = _measured(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
+        low, leaves, _ = _measured(large.groupBy("a").agg(F.min("b").alias("b")))
+        # Large stars change nothing if no node has both smaller and larger neighbours; small ones neither if each leaf then has one root.
+        done = (moved, sum_of_moved, leaves) == (n, s, n)
+        if not done:
+            small = large.join(low.withColumnRenamed("b", "m"), "a")
+            new, n, s = _measured(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
+            drop(edges)
+            edges = new
+        drop(least, large, low)
+        if done:
             break
-        before = after
-    labels = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("id"), "label")
+    labels = edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     found = written(labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct()))
     drop(edges)
     return found
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels as components() gives them, after more links: only what these join is looked at."""
+    own = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
+    named = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    above = components(named.where("a != b"))
+    moved = labels.join(above.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left").select("id", F.coalesce("top", "label").alias("label"))
+    return written(moved.unionByName(above.join(labels, "id", "left_anti")))
+
+
 def _node(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept: int = 2, sketches: int = 80, rounds: int = 1, text_column: str = "text") -> DataFrame:
+def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept: int = 2, sketches: int = 80, text_column: str = "text") -> DataFrame:
     """(node, label) of the distinct texts that are linked to another one; a label is a number."""
     text = F.col(text_column)
     texts = docs.where(text.isNotNull()).select(_node(text).alias("node"), text.alias("text"))
@@ -480,19 +492,6 @@ def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept:
     pairs = buckets.select("id", "n", F.col("low").alias("other"), F.col("low_n").alias("m")).unionByName(buckets.select("id", "n", F.col("high").alias("other"), F.col("high_n").alias("m")))
     links = written(verified(pairs))
     labels = components(links)
-    for _ in range(rounds):
-        named = written(buckets.join(labels, "id", "left").select("key", "id", "n", "low", "high", F.coalesce("label", "id").alias("label")))
-        bounds = written(named.groupBy("key").agg(F.min(F.struct("label", "id", "n")).alias("s"), F.max(F.struct("label", "id", "n")).alias("t")).where("s.label != t.label"))
-        mixed = named.join(bounds, "key")
-        more = mixed.where("label != s.label").select("id", "n", F.col("s.id").alias("other"), F.col("s.n").alias("m"), "low", "high").unionByName(mixed.where("label != t.label").select("id", "n", F.col("t.id").alias("other"), F.col("t.n").alias("m"), "low", "high"))
-        more = more.where("other != low and other != high and id != low and id != high").select("id", "n", "other", "m")
-        new = written(verified(more))
-        drop(named, bounds)
-        if new.isEmpty():
-            break
-        links = written(links.unionByName(new))
-        drop(labels)
-        labels = components(links)
     # Buckets of up to three nodes are done: each pair has the smallest or largest node.
     named = written(buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label")))
     drop(buckets)
@@ -507,8 +506,7 @@ def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept:
     blocks = blocks.select("key", "i", "j", "own", "node", "label", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     new = written(blocks.mapInArrow(_compared(similarity), "a long, b long").distinct())
     if not new.isEmpty():
-        drop(labels)
-        labels = components(links.unionByName(new))
+        labels = joined_labels(labels, new)
     found = written(nodes.select("id", "node").join(labels, "id").select("node", "label"))
     drop(named, mixed, new, links, labels, nodes)
     return found

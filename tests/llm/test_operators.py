@@ -208,6 +208,27 @@ def test_close_pairs_join_what_all_pairs_join(pairs, monkeypatch):
         assert [[x == y for y in got] for x in got] == [[x == y for y in want] for x in want]
 
 
+def test_components(spark):
+    r = random.Random(8)
+    paths = [(k, k + 1) for k in range(20, 45)] + [(60, k) for k in range(61, 90)] + [(99, k) for k in range(91, 99)]
+    more = [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)]
+    links = [x for x in paths + more if x[0] != x[1]]
+
+    def brute(links):
+        label = {x: x for link in links for x in link}
+        for a, b in links:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {x: new if y == old else y for x, y in label.items()}
+        return label
+
+    frame_of = lambda x: spark.createDataFrame(x, "a long, b long")
+    labels = near_duplicates.components(frame_of(links))
+    assert dict(map(tuple, labels.collect())) == brute(links)
+    new = [(30, 70), (95, 200), (300, 301), (30, 31)]
+    assert dict(map(tuple, near_duplicates.joined_labels(labels, frame_of(new)).collect())) == brute(links + new)
+    assert near_duplicates.components(frame_of([])).count() == 0
+
+
 def varied_numbers(r, base, edits):
     base = list(base)
     for _ in range(edits):

@@ -370,7 +370,10 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
             mark[tokens] = False
             most = np.maximum(count[a], count[others])
             limit = _limit(most, similarity)
-            others = others[np.maximum(most - size + 1, 1) - shared <= size * limit]
+            missing = np.maximum(most - size + 1, 1) - shared
+            # The likeliest first, as a link to one text of a class makes the others needless.
+            likely = np.argsort(missing / most, kind="stable")
+            others = others[likely[(missing <= size * limit)[likely]]]
             pairs_of_a = [(min(x, y), max(x, y)) for x in (int(nodes[a]),) for y in nodes[others].tolist()]
             others = others[[not failed[p] for p in pairs_of_a]]
             together = 1  # more and more, as the first link may make the others needless
@@ -384,7 +387,7 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
                         out.append((a, b))
                         joined[joined == joined[b]] = joined[a]
                 others = others[joined[others] != joined[a]]
-                together = min(64, 2 * together)
+                together = 64
     return out
 
 

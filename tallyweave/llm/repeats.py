@@ -15,8 +15,10 @@ of windows with the same anchor (about 85 of them).
    and the runs of one digit are sorted from the anchor to the right and to the left by passes of eight bytes,
    most significant first; runs that stand alone drop out. The common prefixes of neighbours give classes for
    each depth, and a window is repeated if another run has both its right and its left class.
-   Digits with over `largest` such runs are not sorted in one task: there all passes are taken at once, with a hash of all bytes of a
-   window as the digit, and windows are dealt out one by one.
+   Digits with over `largest` such runs are not sorted in one task but split by further passes: a run is cut by the distance of its windows
+   from the anchor into ranges, and the next digit is a hash of the bytes around the anchor that all windows of a range hold. Each pass
+   deals the rows out anew, ranges become shorter by `SPLIT`, and digits that are no longer large are sorted. Where ranges of one
+   window are still large, the digit is of all its bytes, and windows are counted by it.
 3. Spans are joined to the texts again and cut out.
 
 Wherever hashes decide that runs, windows or texts are equal without a look at the bytes, they have 128 bits.
@@ -47,6 +49,8 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
 #: Contents of runs that a task remembers to have sent.
 SENT = 100_000
+#: Ranges that a pass over large digits makes of one.
+SPLIT = 4
 #: Runs that are sorted together in one pass of numpy calls.
 SORT_ROWS = 20_000
 
@@ -214,33 +218,53 @@ def _runs(depth: int):
     return run
 
 
+_PIECE_SCHEMA = "g long, k long, j long, first int, before int, run int, bytes binary"
+_PIECE_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _pieces(rows: list[tuple], more: dict[str, pa.DataType] | None = None) -> pa.RecordBatch:
+    kinds = dict(zip(["g", "k", "j", "first", "before", "run", "bytes"], _PIECE_KINDS, strict=True)) | (more or {})
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
 def _fetch(depth: int):
-    """The bytes of the runs that a text has to show; windows of large digits one by one, under the hash of their bytes, of which `bytes` holds the other half."""
-    names = ["g", "k", "j", "first", "before", "run", "bytes"]
+    """The bytes of the runs that a text has to show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            out: dict[str, list] = {x: [] for x in names}
-            windows: dict[bytes, list[tuple[int, int, int]]] = {}
+            out = []
             for k, j, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode()
-                for r in runs:
-                    a, b = r["first"], r["first"] + r["run"] + depth
-                    if not r["large"]:
-                        for x, v in zip(names, (r["h"], k, j, a, r["before"], r["run"], data[a:b]), strict=True):
-                            out[x].append(v)
-                        continue
-                    for p in range(a, a + r["run"] + 1):
-                        windows.setdefault(xxhash.xxh3_128_digest(data[p : p + depth]), []).append((k, j, p))
-            for digest, places in windows.items():
+                out += [(r["h"], k, j, r["first"], r["before"], r["run"], data[r["first"] : r["first"] + r["run"] + depth]) for r in runs]
+            yield _pieces(out)
+
+    return run
+
+
+def _refined(depth: int, width: int):
+    """Pieces of runs whose windows begin within `width` places of one another, under the digit of the bytes that all such windows hold.
+    Of equal pieces of a slice one keeps its digit; as they are repeated throughout, each is also given as `done`. Pieces of one window
+    have 16 bytes of hashes in place of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("repeats", dict)
+        for batch in slices(batches, "bytes", SLICE_BYTES):
+            found: dict[tuple[int, int, int, bytes], list[tuple[int, int, int]]] = {}
+            for _, k, j, first, before, more, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for q in range((before - more) // width, before // width + 1):
+                    furthest, nearest = min(before, (q + 1) * width - 1), max(before - more, q * width)
+                    skip, rest = before - furthest, furthest - nearest
+                    found.setdefault((q, furthest, rest, data[skip : skip + rest + depth]), []).append((k, j, first + skip))
+            out = []
+            for (q, before, more, data), places in found.items():
+                low, high = q * width, min((q + 1) * width - 1, depth - GRAM)
+                digest = xxhash.xxh3_128_digest(data[before - low : before + depth - high], seed=q)
                 g = int.from_bytes(digest[:8], "big", signed=True)
-                for i, (k, j, p) in enumerate(places):
-                    # run -1: a single window; -2: one that is repeated in this slice, and needs no company
-                    lead = i == 0
-                    for x, v in zip(names, (g if lead else g ^ (k + p) >> 1, k, j, p, 0, -1 if lead and len(places) == 1 else -2, digest[8:]), strict=True):
-                        out[x].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(names, kinds, strict=True)], names)
+                out.append((g, *places[0], before, more, digest if width == 1 else data, False))
+                if len(places) > 1:
+                    out += [(g, *place, before, more, b"", True) for place in places]
+            yield _pieces(out, {"done": pa.bool_()})
 
     return run
 
@@ -250,19 +274,8 @@ def _sorted_groups(depth: int):
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
         g, k, j, first, before, run = (np.array([r[x] for r in rows], np.int64) for x in range(6))
-        single = run < 0
-        out = [(np.zeros(0, np.int64),) * 3]
-        if single.any():
-            part = np.flatnonzero(single)
-            both = np.column_stack([g[part], np.frombuffer(b"".join([rows[x][6] for x in part.tolist()]), np.int64)])
-            _, inverse, times = np.unique(both.view([("g", np.int64), ("c", np.int64)]).ravel(), return_inverse=True, return_counts=True)
-            hit = part[(times[inverse] > 1) | (run[part] == -2)]
-            out.append((k[hit], j[hit], first[hit]))
-        part = np.flatnonzero(~single)
-        if len(part) > 1:
-            row, window = repeated_windows(g[part], [rows[x][6] for x in part.tolist()], before[part], run[part], depth)
-            out.append((k[part[row]], j[part[row]], first[part[row]] + window))
-        k, j, p = (np.concatenate(x) for x in zip(*out, strict=True))
+        row, window = repeated_windows(g, [r[6] for r in rows], before, run, depth)
+        k, j, p = k[row], j[row], first[row] + window
         order = np.lexsort((p, j, k))
         k, j, p = k[order], j[order], p[order]
         new = np.ones(len(k), bool)
@@ -285,6 +298,27 @@ def _sorted_groups(depth: int):
     return run
 
 
+def _split_large(pieces: DataFrame, depth: int, largest: int) -> tuple[DataFrame, DataFrame]:
+    """(pieces of digits that are no longer large, spans) of the pieces of large digits."""
+    end = (F.col("first") + F.col("run") + depth).alias("end")
+    width, small, spans = depth - GRAM + 1, pieces.where("false"), None
+    while True:
+        width = -(-width // SPLIT)
+        parts = written(pieces.mapInArrow(_refined(depth, width), f"{_PIECE_SCHEMA}, done boolean"))
+        done = parts.where("done").select("k", "j", "first", end)
+        spans = done if spans is None else spans.unionByName(done)
+        parts = parts.where("not done").drop("done")
+        if width == 1:
+            # What brings a hot window together is written first, so that the join can be sent out or split.
+            twice = written(parts.groupBy("bytes").agg(F.count("*").alias("m")).where("m > 1").select("bytes"))
+            return small, spans.unionByName(parts.join(twice, "bytes", "left_semi").select("k", "j", "first", end))
+        large = written(parts.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("g"))
+        small = small.unionByName(parts.join(large, "g", "left_anti"))
+        if large.isEmpty():
+            return small, spans
+        pieces = parts.join(large, "g", "left_semi").select(*pieces.columns)
+
+
 def _merged(spans: list[dict] | None) -> list[dict]:
     merged: list[dict] = []
     for first, end in sorted((r["first"], r["end"]) for r in spans or ()):
@@ -356,24 +390,32 @@ def repeated_spans(docs: DataFrame, depth: int, largest: int, id_column: str, te
     judged = written(judged)
     shown = judged.where("shown").select("h", "k", "j", "first", "before", "run")
     # Written, so that the join knows its size: it is sent to all tasks if it is small, and else a large digit's rows can be split.
-    large = written(shown.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("h", F.lit(True).alias("large")))
-    # Sets: rows with the same id and text ask for the same, so a list has no more than one text's runs.
-    asked = shown.join(large, "h", "left").groupBy("k", "j").agg(F.collect_set(F.struct("h", "first", "before", "run", F.coalesce("large", F.lit(False)).alias("large"))).alias("runs"))
+    large = written(shown.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > largest).select("h"))
     texts = docs.where(F.octet_length(text) >= depth).select(*keys, text.alias("text"))
-    fetched = texts.join(asked, ["k", "j"]).select("k", "j", "text", "runs").mapInArrow(_fetch(depth), "g long, k long, j long, first int, before int, run int, bytes binary")
-    partial = fetched.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_groups(depth), "k long, j long, first int, end int")
+
+    def fetched(runs: DataFrame) -> DataFrame:
+        # Sets: rows with the same id and text ask for the same, so a list has no more than one text's runs.
+        asked = runs.groupBy("k", "j").agg(F.collect_set(F.struct("h", "first", "before", "run")).alias("runs"))
+        return texts.join(asked, ["k", "j"]).select("k", "j", "text", "runs").mapInArrow(_fetch(depth), _PIECE_SCHEMA)
+
     whole = judged.where("repeated").select("k", "j", "first", (F.col("first") + F.col("run") + depth).alias("end"))
+    if large.isEmpty():
+        pieces = fetched(shown)
+    else:
+        pieces, spans = _split_large(fetched(shown.join(large, "h", "left_semi")), depth, largest)
+        pieces, whole = fetched(shown.join(large, "h", "left_anti")).unionByName(pieces), whole.unionByName(spans)
+    partial = pieces.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_groups(depth), "k long, j long, first int, end int")
     return whole.unionByName(partial).groupBy("k", "j").agg(F.collect_set(F.struct("first", "end")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 200, largest: int = 1_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row its id, `kept` binary (the bytes that stay) and `spans` (first, end) of what went."""
     spans = repeated_spans(docs, depth, largest, id_column, text_column)
     given = docs.select(*_keys(id_column, text_column), F.col(id_column).alias("own"), F.col(text_column).alias("text")).join(spans, ["k", "j"], "left")
     return given.select(F.col("own").alias(id_column), "text", "found").mapInArrow(_cut(id_column), f"{ids_schema(docs, id_column)}, kept binary, spans array<struct<first: int, end: int>>")
 
 
-def cut_repeats(docs: DataFrame, depth: int = 200, largest: int = 5_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, depth: int = 200, largest: int = 1_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, their texts without repeated windows. Rows of which nothing is left go."""
     spans = repeated_spans(docs, depth, largest, id_column, text_column)
     given = docs.select(*_keys(id_column, text_column), F.struct(*docs.columns).alias("row")).join(spans, ["k", "j"], "left")

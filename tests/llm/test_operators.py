@@ -355,7 +355,7 @@ def brute_cut(rows, depth):
     return Counter(out)
 
 
-@pytest.mark.parametrize("largest", [5_000, 3])
+@pytest.mark.parametrize("largest", [5_000, 20, 3, 1])
 def test_repeats(spark, largest):
     r = random.Random(5)
     mk = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(n))

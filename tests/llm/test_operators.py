@@ -379,6 +379,16 @@ def test_repeats(spark, largest):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("depth", [33, 40])
+def test_repeats_of_short_windows_under_large_digits(spark, depth):
+    r = random.Random(depth)
+    shared = "".join(r.choice("abcdefgh") for _ in range(depth + 3))
+    mk = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60)))
+    rows = [(k, mk() + shared[r.randint(0, 3) :] + mk()) for k in range(60)] + [(60, ""), (61, None)]
+    found = repeats.remove_repeats(frame(spark, rows), depth=depth, largest=2).collect()
+    assert Counter((x.doc_id, bytes(x.kept)) for x in found) == brute_cut(rows, depth)
+
+
 ITEMS = [(k, t) for k, t in enumerate(["Which of the seven small rivers runs north into the quiet lake at dawn?", "How many grey stones did the mason carry up the long hill before noon on that day?", "too short", None, ""])]
 
 

@@ -12,9 +12,10 @@ their edit similarity, 1 - edits / words of the longer, is at least `similarity`
    has at most 2b pairs, whatever its size. Then classes are formed, and in buckets that still hold several of them every pair of
    different classes in a bucket is verified or ruled out: texts within the similarity share so many pairs of neighbouring words that they have one in
    common among the rarest of each (prefix filter), and rare is counted in the bucket, so that a passage which all its texts
-   hold makes no pairs. Buckets of over `BLOCK_WORDS` words are split into blocks, and each two blocks are compared.
+   hold makes no pairs. A pair that several buckets hold is verified in one of them. Buckets of over `BLOCK_WORDS` words are split into blocks, and each two blocks are compared.
 4. A pair is verified by edit distance along diagonals within the band that the similarity allows, many pairs at a time. Words
-   are compared by 32-bit hashes.
+   are compared by 32-bit hashes. Pairs whose longest common subsequence is too short are given up early; a task hands on a spanning
+   forest of its links.
 
 Sides of joins that bring a hot key together are written first, so that adaptive execution can split the other side.
 
@@ -27,7 +28,7 @@ classes() and kept by keep_one(). An empty table gives an empty table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -200,6 +201,20 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.
     return ok
 
 
+def in_order(a: list[int], b: list[int]) -> int:
+    """Words of the longest common subsequence: a bit for each place of `a`, in whole numbers (Hyyrö, 2004)."""
+    places: dict[int, int] = {}
+    bit = 1
+    for w in a:
+        places[w] = places.get(w, 0) | bit
+        bit <<= 1
+    free = bit - 1
+    for at in filter(None, map(places.get, b)):
+        used = free & at
+        free = (free + used) | (free - used)
+    return len(a) - (free & (bit - 1)).bit_count()
+
+
 def _aligned(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
     n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     ends = [np.array([-1]), np.array([-2])]
@@ -232,7 +247,11 @@ def _aligned(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.
         reach[row, place] = far
         arrived = reach[np.arange(len(n)), middle + m - n] >= n
         ok[pair[arrived]] = True
-        stay = np.flatnonzero(~arrived & (limit > edits))
+        going_on = ~arrived & (limit > edits)
+        # What is left as it is, is in order in both. That bound costs a small part of what the edits that are left do, and most pairs that aren't within the limit end there.
+        for k in np.flatnonzero(going_on & (limit >= 16) & (limit // 16 == edits)).tolist():
+            going_on[k] = m[k] - in_order(a[pair[k]].tolist(), b[pair[k]].tolist()) <= limit[k]
+        stay = np.flatnonzero(going_on)
         if len(stay) < len(pair):
             pair, n, m, limit, x_at, y_at, reach = (z[stay] for z in (pair, n, m, limit, x_at, y_at, reach))
             if not len(pair):
@@ -263,12 +282,47 @@ def _sketched(method: tuple[int, int, int]):
     return run
 
 
+class Forest:
+    """What links join so far; each node hangs below a smaller one."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were joined before."""
+        low, high = sorted((self.root(a), self.root(b)))
+        if low != high:
+            self.above[high] = low
+        return low != high
+
+
 def _verified(similarity: float):
+    """Rows (a, b, x, y) to the links that join what all links of the task join. Pairs that are joined already are not aligned."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("verify", dict)
+        forest = Forest()
         for batch in slices(batches, "x", SLICE_BYTES):
-            pairs = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(within(pairs, similarity)))
+            a, b, x, y = (column.to_pylist() for column in batch.columns)
+            found, left = [], list(range(len(a)))
+            for last in (False, False, True):
+                left = [k for k in left if forest.root(a[k]) != forest.root(b[k])]
+                # Those first that would join most, as their links may make the others needless.
+                would, first = Forest(), set()
+                if not last:
+                    first = {k for k in left if would.join(forest.root(a[k]), forest.root(b[k]))}
+                part = left if last else [k for k in left if k in first]
+                ok = within([(np.frombuffer(x[k], np.uint32), np.frombuffer(y[k], np.uint32)) for k in part], similarity)
+                found += [k for k, linked in zip(part, ok.tolist(), strict=True) if linked and forest.join(a[k], b[k])]
+                left = [k for k in left if k not in first]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(found, pa.int64()))
+            if len(forest.above) > PAIRS:
+                forest = Forest()
 
     return run
 
@@ -323,11 +377,11 @@ def grams_of(words: list[np.ndarray], size: int, group: np.ndarray, label: np.nd
     return Grams(start, count, token, np.stack([who, what, begins, ends]), who)
 
 
-def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float, nodes: np.ndarray | None = None, failed: GenerationCache | None = None) -> list[tuple[int, int]]:
+def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, label: np.ndarray, similarity: float, nodes: np.ndarray | None = None, failed: GenerationCache | None = None, elsewhere: Callable[[int, int], bool] = lambda a, b: False) -> list[tuple[int, int]]:
     """Pairs of texts of one group (on different sides, if the group has two) that join all the labels which verified pairs join.
     Words are 32-bit hashes; groups, sides and labels are numbers. No pair is left out but those that a bound rules out or whose
     labels are joined already. Pairs of neighbouring words serve as runs, or single words if they bring fewer pairs together. `failed` holds pairs of `nodes` that
-    were verified before in vain, as many buckets hold the same pair."""
+    were verified before in vain, as many buckets hold the same pair, and `elsewhere` tells pairs of places that are left to another call."""
     nodes, failed = np.arange(len(words)) if nodes is None else nodes, GenerationCache(lambda pair: False, PAIRS) if failed is None else failed
     count = np.array([len(w) for w in words], np.int64)
     grams, size = grams_of(words, 2, group, label, similarity), 2
@@ -374,6 +428,7 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
             # The likeliest first, as a link to one text of a class makes the others needless.
             likely = np.argsort(missing / most, kind="stable")
             others = others[likely[(missing <= size * limit)[likely]]]
+            others = others[[not elsewhere(a, b) for b in others.tolist()]]
             pairs_of_a = [(min(x, y), max(x, y)) for x in (int(nodes[a]),) for y in nodes[others].tolist()]
             others = others[[not failed[p] for p in pairs_of_a]]
             together = 1  # more and more, as the first link may make the others needless
@@ -392,7 +447,8 @@ def close_pairs(words: list[np.ndarray], group: np.ndarray, side: np.ndarray, la
 
 
 def _compared(similarity: float):
-    """Rows (key, i, j, own, node, label, words), sorted by key, i and j, to links."""
+    """Rows (key, i, j, own, node, label, keys, words), sorted by key, i and j, to links. `keys` are all buckets of the node. Each pair is
+    verified in one of the buckets that both its nodes are in, chosen by a hash, so that large groups, which share many, are not compared in each."""
     run_id = uuid.uuid4().hex  # the nodes' numbers are those of one call
 
     def links(rows: list[dict], failed: GenerationCache) -> pa.RecordBatch:
@@ -401,7 +457,16 @@ def _compared(similarity: float):
         group = np.array([number((r["key"], r["i"], r["j"])) for r in rows])
         label = np.array([number(r["label"]) for r in rows])
         side = np.array([int(r["own"] != r["i"]) for r in rows])
-        pairs = close_pairs([np.frombuffer(r["words"], np.uint32) for r in rows], group, side, label, similarity, np.array([r["node"] for r in rows]), failed)
+        keys = [frozenset(r["keys"]) for r in rows]
+
+        def elsewhere(a: int, b: int) -> bool:
+            key, both = rows[a]["key"], keys[a] & keys[b]
+            if len(both) < 2:
+                return False
+            mask = hash(tuple(sorted((rows[a]["node"], rows[b]["node"]))))  # of whole numbers, so the same in all workers
+            return min(both, key=lambda k: hash((k, mask))) != key
+
+        pairs = close_pairs([np.frombuffer(r["words"], np.uint32) for r in rows], group, side, label, similarity, np.array([r["node"] for r in rows]), failed, elsewhere)
         ends = [sorted((rows[a]["node"], rows[b]["node"])) for a, b in pairs]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -437,7 +502,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large, moved, sum_of_moved = _measured(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large, moved, sum_of_moved = _measured(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low, leaves, _ = _measured(large.groupBy("a").agg(F.min("b").alias("b")))
         # Large stars change nothing if no node has both smaller and larger neighbours; small ones neither if each leaf then has one root.
         done = (moved, sum_of_moved, leaves) == (n, s, n)
@@ -502,16 +567,18 @@ def node_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, kept:
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("b"), F.sum("n").alias("total"), F.sum(hashed).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("t")).where("b > 3 and low != high")
     # Of buckets with the same nodes one is compared.
     mixed = written(mixed.groupBy("b", "s", "t").agg(F.min("key").alias("key"), F.max(F.ceil(F.col("total") / BLOCK_WORDS)).cast("int").alias("blocks")).select("key", "blocks"))
+    # The compared buckets of each node, at most one a sketch.
+    compared = written(named.join(mixed.select("key"), "key").groupBy("id").agg(F.collect_list("key").alias("keys")).withColumnRenamed("id", "node").join(words.withColumnRenamed("id", "node"), "node"))
     whole = named.join(mixed.where("blocks = 1"), "key").withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
     blocks = named.join(mixed.where("blocks > 1"), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = whole.unionByName(blocks)
-    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("id").alias("node"), "label").join(words.withColumnRenamed("id", "node"), "node")
-    blocks = blocks.select("key", "i", "j", "own", "node", "label", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = blocks.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("id").alias("node"), "label").join(compared, "node")
+    blocks = blocks.select("key", "i", "j", "own", "node", "label", "keys", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     new = written(blocks.mapInArrow(_compared(similarity), "a long, b long").distinct())
     if not new.isEmpty():
         labels = joined_labels(labels, new)
     found = written(nodes.select("id", "node").join(labels, "id").select("node", "label"))
-    drop(named, mixed, new, links, labels, nodes)
+    drop(named, mixed, compared, new, links, labels, nodes)
     return found
 
 

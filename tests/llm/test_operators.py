@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -339,6 +340,47 @@ def test_near_duplicates_inside_a_large_bucket(spark, block, monkeypatch):
     assert got == {k: k if k < 2000 else k - 2000 for k in range(len(rows))}
 
 
+def test_common_words_in_order_bound_the_alignment():
+    r = random.Random(4)
+    pairs = []
+    for _ in range(60):
+        a = [r.randrange(2000) for _ in range(r.randrange(90, 200))]
+        b = [w if r.random() > 0.2 else r.randrange(2000) for w in a if r.random() > 0.02]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [last for last in [0] for j, y in enumerate(b) for last in [row[j] + 1 if x == y else max(row[j + 1], last)]]
+        assert near_duplicates.in_order(a, b) == row[-1]
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
+    want = [near_duplicates.banded_distance(a, b, limit) <= limit for a, b in pairs for limit in [int(max(len(a), len(b)) * 0.2 + 1e-9)]]
+    assert near_duplicates.within(pairs, 0.8).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_a_task_hands_on_a_forest_of_links():
+    r = random.Random(5)
+    texts = [[k * 1000 + x for x in range(100)] for k in (0, 1) for _ in range(12)]
+    texts = [np.array([r.randrange(10**6) if r.random() < 0.05 else w for w in t], np.uint32) for t in texts]
+    pairs = [(a, b) for b in range(24) for a in range(b)]
+    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "x": [texts[a].tobytes() for a, _ in pairs], "y": [texts[b].tobytes() for _, b in pairs]})
+    links = [tuple(x.values()) for out in near_duplicates._verified(0.8)(iter([batch.slice(0, 100), batch.slice(100)])) for x in out.to_pylist()]
+    assert len(links) == 22
+    found = near_duplicates.Forest()
+    assert all(a // 12 == b // 12 and found.join(a, b) for a, b in links)
+
+
+def test_a_pair_of_several_buckets_is_verified_once(monkeypatch):
+    base = list(range(100))
+    texts = [np.array([w if (w + k) % 8 > 1 else 1000 * k + w for w in base], np.uint32) for k in range(1, 9)]  # further apart than 0.8
+    texts += [np.array(base[:-1] + [77777 + k], np.uint32) for k in range(2)]
+    tried, real = Counter(), near_duplicates.within
+    monkeypatch.setattr(near_duplicates, "within", lambda pairs, similarity: (tried.update(tuple(sorted((x.tobytes(), y.tobytes()))) for x, y in pairs), real(pairs, similarity))[1])
+    links = set()
+    for key in range(6):
+        rows = [{"key": key, "i": 0, "j": 0, "own": 0, "node": k, "label": k, "keys": list(range(6)), "words": t.tobytes()} for k, t in enumerate(texts)]
+        links |= {tuple(x.values()) for out in near_duplicates._compared(0.8)(iter([pa.RecordBatch.from_pylist(rows)])) for x in out.to_pylist()}
+    assert max(tried.values()) == 1
+    assert (8, 9) in links
+
+
 def brute_cut(rows, depth):
     seen = Counter()
     raw = [(t or "").encode() for _, t in rows]

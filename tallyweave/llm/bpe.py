@@ -28,8 +28,9 @@ from .common import GenerationCache, ids_schema, slices, worker_state
 
 #: Bytes of text that a worker holds with its ids at once; a single longer text is taken whole.
 SLICE_BYTES = 2 << 20
-#: White-space-led chunks and pre-tokens that a worker remembers, in each of two generations.
+#: White-space-led chunks that a worker remembers, in each of two generations, and pre-tokens that aren't a space and a word: those are chunks.
 CACHE = 150_000
+OTHERS = 40_000
 #: Pairs of tokens whose compatibility a worker remembers, in each of two generations.
 PAIRS = 300_000
 
@@ -83,7 +84,7 @@ class BacktrackingBPE:
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pairs = GenerationCache(lambda key: self._compatible(*divmod(key, 1 << 20)), PAIRS)
-        self.tokens = GenerationCache(self._pre_token, CACHE)
+        self.tokens = GenerationCache(self._pre_token, OTHERS)
         self.chunks = GenerationCache(self._chunk, CACHE)
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -151,7 +152,11 @@ class BacktrackingBPE:
     def _chunk(self, chunk: str) -> bytes:
         if chunk[1:].isalpha() and chunk[0] == " ":
             return self._pre_token(chunk)
-        return b"".join(map(self.tokens.__getitem__, self._words(chunk)))
+        return b"".join(map(self._ids, self._words(chunk)))
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a pre-token, remembered in one place only."""
+        return self.chunks[word] if word[0] == " " and word[1:].isalpha() else self.tokens[word]
 
     _LATIN = regex.compile("[\\0-\u024f]*")
 
@@ -164,7 +169,7 @@ class BacktrackingBPE:
         if not text:
             return b""
         if self._RUN.search(text):
-            return b"".join(map(self.tokens.__getitem__, self._words(text)))
+            return b"".join(map(self._ids, self._words(text)))
         first, *rest = text.split(" ")
         got = self.chunks.__getitem__
         return (got(first) if first else b"") + b"".join([got(" " + x) for x in rest])

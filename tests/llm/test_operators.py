@@ -340,6 +340,13 @@ def test_near_duplicates_inside_a_large_bucket(spark, block, monkeypatch):
     assert got == {k: k if k < 2000 else k - 2000 for k in range(len(rows))}
 
 
+def test_bpe_words_are_remembered_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text, coder = "one two, three; four (five) six. seven  two, 8 it's", bpe.BacktrackingBPE(path)
+    assert coder.encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert not [w for w in coder.tokens if w[0] == " " and w[1:].isalpha()]
+
+
 def test_common_words_in_order_bound_the_alignment():
     r = random.Random(4)
     pairs = []
